@@ -1,3 +1,6 @@
 """All queries of the package by name, and the SQL that gives the same rows."""
 
-QUERIES, SQL = {}, {}
+from .plans import corpus, evaluation  # noqa: F401
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
