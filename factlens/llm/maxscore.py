@@ -67,8 +67,8 @@ def shard_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row
         score = strong @ part.T  # essential terms, all rows
         left = np.where(m > 0, np.take_along_axis(reach, np.maximum(m - 1, 0)[:, None], axis=1)[:, 0], 0)
         alive = score > (theta - floor - left)[:, None]
-        if at == 0 and len(part) > 4 * k:  # no threshold yet: all terms were essential, take the k best at once
-            cut = np.partition(score, len(part) - k, axis=1)[:, len(part) - k]
+        if at == 0 and len(part) > 4 * k:  # no threshold yet: all terms were essential, take the k best, and the query's own row, at once
+            cut = np.partition(score, len(part) - k - 1, axis=1)[:, len(part) - k - 1]
             alive &= score >= cut[:, None]
         cq, cr = np.nonzero(alive)
         cs = score[cq, cr] + floor[cq]

@@ -164,13 +164,14 @@ def test_maxscore(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     v = maxscore.integer_vectors(df, "vec_id", "embedding")
     ok = {i: [int(np.floor(64 * float(np.float32(c)))) for c in e] for i, e, _ in rows if i is not None and e is not None and all(c is not None and np.isfinite(c) for c in e)}
-    got = {}
-    for r in maxscore.top_k(v, v.where("id % 20 = 0"), 20, shard_rows=64, block_queries=7).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    assert set(got) == {i for i in ok if i % 20 == 0}
-    for q, have in got.items():
-        s = sorted((-sum(a * b for a, b in zip(ok[q], e)), i) for i, e in ok.items() if i != q)[:20]  # noqa: B905
-        assert [have[k + 1] for k in range(len(have))] == [(i, -n) for n, i in s]
+    for shard_rows in (64, 8192):
+        got = {}
+        for r in maxscore.top_k(v, v.where("id % 20 = 0"), 20, shard_rows=shard_rows, block_queries=7).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+        assert set(got) == {i for i in ok if i % 20 == 0}
+        for q, have in got.items():
+            s = sorted((-sum(a * b for a, b in zip(ok[q], e)), i) for i, e in ok.items() if i != q)[:20]  # noqa: B905
+            assert [have[k + 1] for k in range(len(have))] == [(i, -n) for n, i in s]
     assert maxscore.top_k(v.limit(0), v.limit(0)).count() == 0
     assert maxscore.top_k(v.limit(3), v.limit(3)).count() == 6
 
