@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import id_crc, importable
 
-MAX_FIT_DOCS, MAX_FIT_CHARS = 3000, 25_000_000
+MAX_FIT_DOCS, MAX_FIT_CHARS = 3000, 15_000_000
 STEMS = (4, 5, 6)
 MIN_SHARE, MIN_GROUPS, MIN_RATIO, CHANCE, MAX_WORDS = 0.02, 3, 20.0, 3.0, 50_000
 STEPS, RATE, L2 = 25, 0.7, 1e-4
@@ -55,7 +55,7 @@ class Model:
 class _Known(dict):
     """Emissions by word, for words as they come."""
 
-    def __init__(self, bias: float, weights: dict[str, float], keep: int = 300_000):
+    def __init__(self, bias: float, weights: dict[str, float], keep: int = 150_000):
         super().__init__()
         self.bias, self.weights, self.keep = bias, weights, keep
 
@@ -185,7 +185,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, dtype=int)
     if not len(y) or y.min() == y.max():
         return Model()
-    docs = [words_of(t) for t in texts]
+    one: dict[str, str] = {}
+    docs = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]  # a string a word, not one a token
     seen, met, size = [Counter(), Counter()], set(), [0, 0]
     for words, label, group in zip(docs, y, _groups(docs), strict=True):
         if (group, label) not in met:
