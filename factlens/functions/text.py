@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _c(x: str | Column) -> Column:
@@ -125,19 +126,19 @@ def mention_fill(template: str | Column, labels: Column) -> Column:
 def normalize(form: str):
     """Unicode normalisation (NFC, NFD, NFKC, NFKD), which Spark lacks."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
 
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """Combining marks go, so ё becomes е."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), na_action="ignore")
