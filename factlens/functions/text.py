@@ -36,8 +36,12 @@ def collapse_punctuation(value: str | Column) -> Column:
     return F.btrim(F.regexp_replace(_c(value), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Stressed Greek vowels and the same without stress.
+STRESSED, UNSTRESSED = "άόίέύώή", "αοιευωη"
+
+
 def unstress_greek(value: str | Column) -> Column:
-    return F.translate(_c(value), "άόίέύώή", "αοιευωη")
+    return F.translate(_c(value), STRESSED, UNSTRESSED)
 
 
 def set_masks(prompt: str | Column, n: str | Column, mask: str = "[MASK]") -> Column:
