@@ -6,8 +6,10 @@ one, blanks to the metaspace marker, the marker before the text), a Unigram mode
 follow the scores, byte fallback, and the decoder. Batches are encoded by THREADS threads.
 
 Where no piece has the marker after another character, no merge crosses a blank, so a text is encoded by its words, each once
-while it is remembered; otherwise texts are encoded whole. Every word (or text) that is encoded is also encoded by the
-sentencepiece library, and `parity` says whether all ids agree.
+while it is remembered; otherwise texts are encoded whole. Where moreover no longer piece has a newline and a newline has an
+id of its own, a text is cut before newlines too: a newline and what follows it are encoded together, and the marker's id
+that comes before them is left out. Every word (or text) that is encoded is also encoded by the sentencepiece library, and
+`parity` says whether all ids agree.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,44 +153,68 @@ class Codec:
         self.tok = build(self.spec)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.dummy_prefix and self.spec.escape
-        self.by_word = plain and not any(MARK in p.lstrip(MARK) for p, _, k in self.spec.pieces if k in (NORMAL, USER)) and not any(k == USER for *_, k in self.spec.pieces)
-        self.memo: dict[str, tuple[bytes, bool]] = {}
-        self.old: dict[str, tuple[bytes, bool]] = {}
+        names = {p for p, _, _ in self.spec.pieces}
+        self.by_word = plain and MARK in names and not any(MARK in p.lstrip(MARK) for p, _, k in self.spec.pieces if k in (NORMAL, USER)) and not any(k == USER for *_, k in self.spec.pieces)
+        alone = "\n" in names or self.spec.byte_fallback and "<0x0A>" in names
+        self.by_line = self.by_word and alone and not any("\n" in p and len(p) > 1 for p in names)
+        self.lead = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.apart: set[str] = set()  # words whose ids the sentencepiece library does not give
 
     def _both(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         ours = [array.array("I", e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.sp.encode(texts, num_threads=self.threads)
         return [(a.tobytes(), a.tolist() == b) for a, b in zip(ours, theirs, strict=True)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Groups of words at once: the marker's pieces say where each begins. A group on which the libraries differ goes word by word."""
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        ours = self.tok.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        theirs = self.sp.encode([" ".join(g) for g in groups], num_threads=self.threads)
+        for group, e, b in zip(groups, ours, theirs, strict=True):
+            ids = e.ids
+            flat = array.array("I", ids)
+            starts = np.flatnonzero(self.lead[np.frombuffer(flat, np.uint32)]).tolist()
+            if ids == b and len(starts) == len(group):
+                data = flat.tobytes()
+                for w, x, y in zip(group, starts, [*starts[1:], len(ids)], strict=True):
+                    self.memo[w] = data[4 * x + 4 * (self.by_line and w[0] == "\n") : 4 * y]
+                continue
+            for w, (one, same) in zip(group, self._both(group), strict=True):
+                self.memo[w] = one[4:] if self.by_line and w[0] == "\n" else one
+                if not same:
+                    self.apart.add(w)
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         if not self.by_word:
             return self._both(texts)
-        memo, cut, need, odd = self.memo, [], set(), []
+        cut: list[list[str] | None] = []
+        need: set[str] = set()
+        odd = []
         for i, t in enumerate(texts):
-            if not t or t[0] in " ▁" or t[-1] in " ▁" or "  " in t or MARK in t:
+            if not t or t[0] in " \n▁" or t[-1] in " ▁" or "  " in t or " \n" in t or MARK in t:
                 odd.append(i)
                 cut.append(None)
             else:
-                cut.append(w := t.split(" "))
+                cut.append(w := (t.replace("\n", " \n") if self.by_line else t).split(" "))
                 need.update(w)
-        if len(memo) > self.keep:
-            self.old, self.memo = memo, {}
-            memo = self.memo
-        new = []
+        if len(self.memo) > self.keep:
+            self.old, self.memo = self.memo, {}
+        memo, new = self.memo, []
         for w in need.difference(memo):
             if (v := self.old.get(w)) is not None:
                 memo[w] = v
             else:
                 new.append(w)
         for at in range(0, len(new), 20_000):
-            memo.update(zip(new[at : at + 20_000], self._both(new[at : at + 20_000]), strict=True))
+            self._learn(new[at : at + 20_000])
         out: list = [None] * len(texts)
         for i, v in zip(odd, self._both([texts[i] for i in odd]), strict=True):
             out[i] = v
         for i, w in enumerate(cut):
             if w is not None:
-                got = list(map(memo.__getitem__, w))
-                out[i] = (b"".join([g[0] for g in got]), all(g[1] for g in got))
+                out[i] = (b"".join(map(memo.__getitem__, w)), not self.apart or self.apart.isdisjoint(w))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:

@@ -390,6 +390,26 @@ def test_pieces(spark, odd_docs):
     assert pieces.encode_documents(docs_of(spark, []), path).count() == 0
 
 
+def test_pieces_of_words_are_those_of_texts():
+    c, rng = pieces.Codec(vocabulary_path(PIECE)), random.Random(1)
+    texts = ["a\nb", "a\n", "a\n\nb", "a\n b", "\na", "a \nb", "\n", "é\n漢\n字 b", "a\t\nb", "\x00\nb", "a\r\nb"]
+    texts += ["".join(rng.choice(["a", " ", "\n", "th", "▁", "漢", ".", " "]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    assert c.by_word and c.by_line
+    assert c.encode(texts) == c._both(texts) and all(same for _, same in c._both(texts))
+
+
+def test_pieces_count_words_that_the_libraries_encode_apart():
+    c = pieces.Codec(vocabulary_path(PIECE))
+    true, c.sp = c.sp, None
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [ids + [0] * ("wrong" in t) for t, ids in zip(texts, true.encode(texts), strict=True)]
+
+    c.sp = Other()
+    assert [same for _, same in c.encode(["one two", "one wrong", "two\none", "a\nwrong"])] == [True, False, True, False]
+
+
 def test_unigram_model_is_rebuilt():
     spec = pieces.Spec([("<unk>", 0.0, 2), ("▁", -2.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("▁ab", -2.2, 1), ("a", -3.0, 1), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))], 1, True, 0, b"", True, True, True)
     tok = pieces.build(spec)
