@@ -78,7 +78,7 @@ class ChunkEncoder:
 
     def _chunk(self, key: str, lead: str) -> bytes:
         base = key.rstrip(_PUNCTUATION)
-        if base and base.isalpha() and max(base) < "\u0250":  # one pre-token, and perhaps one of punctuation
+        if base and base.isalpha() and max(base) < "\u0250" and "\u0130" not in base:  # one pre-token, and perhaps one of punctuation (U+0130 gains a mark in lower case)
             if base != key:
                 return (self.led if lead else self.bare)[base] + self.bare[key[len(base) :]]
             word = lead + key if self.kind == "kept" else self.tok.normalizer.normalize_str(key)

@@ -390,6 +390,16 @@ def test_pieces(spark, odd_docs):
     assert pieces.encode_documents(docs_of(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_of_latin_letters_are_those_of_texts(name):
+    from factlens.llm.tokens import ChunkEncoder
+
+    letters = [chr(i) for i in range(32, 0x250)]
+    texts = ["İstanbul ǅ ſ ß ẞ İ,", "ŉ ΑΣ.", " ".join(letters), " ".join(x * 3 + "," for x in letters), " ".join("a" + x + "B." for x in letters)]
+    c = ChunkEncoder(vocabulary_path(name))
+    assert c.encode(texts) == c._ids(texts)
+
+
 def test_pieces_of_words_are_those_of_texts():
     c, rng = pieces.Codec(vocabulary_path(PIECE)), random.Random(1)
     texts = ["a\nb", "a\n", "a\n\nb", "a\n b", "\na", "a \nb", "\n", "é\n漢\n字 b", "a\t\nb", "\x00\nb", "a\r\nb"]
