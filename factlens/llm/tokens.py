@@ -58,6 +58,13 @@ def _kind(path: str) -> str:
     return "whole"
 
 
+def _lowers(path: str) -> bool:
+    """Whether the normaliser leaves white-space-free words of precomposed Latin letters as they are, but for lower case."""
+    with open(path, encoding="utf-8") as f:
+        steps = (json.load(f).get("normalizer") or {}).get("normalizers") or []
+    return [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": r"\s+"}
+
+
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without special tokens."""
 
@@ -69,7 +76,9 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         self.kind = _kind(path)
         self.letters = _byte_letters()
-        self.bare = _Memo(lambda k: self._chunk(k, ""), keep // 4 if self.kind == "kept" else keep)
+        self.lowers = _lowers(path)
+        self.tokenize = self.tok.model.tokenize
+        self.bare = _Memo(lambda k: self._chunk(k, ""), keep // 4 if self.kind == "kept" else keep * 3 // 4)
         self.led = _Memo(lambda k: self._chunk(k, " "), keep)  # chunks with a blank before them
         assert array.array("I").itemsize == 4
 
@@ -81,8 +90,10 @@ class ChunkEncoder:
         if base and base.isalpha() and max(base) < "\u0250" and "\u0130" not in base:  # one pre-token, and perhaps one of punctuation (U+0130 gains a mark in lower case)
             if base != key:
                 return (self.led if lead else self.bare)[base] + self.bare[key[len(base) :]]
-            word = lead + key if self.kind == "kept" else self.tok.normalizer.normalize_str(key)
-            return array.array("I", [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            word = lead + key if self.kind == "kept" else key.lower() if self.lowers else self.tok.normalizer.normalize_str(key)
+            if lead or not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            return array.array("I", [t.id for t in self.tokenize(word)]).tobytes()
         return self._ids([lead + key])[0] if key or lead else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -116,6 +127,11 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Frees this worker's encoders, where a later stage does not encode."""
+    _ENCODERS.clear()
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
