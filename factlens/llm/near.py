@@ -7,8 +7,11 @@ are candidates; a bucket's pairs are never all with all. First each node is test
 smallest node of all its buckets, which joins most of a large group at a test a node. Then it is tested against the smallest
 node of each bucket that is not of its class yet. Of the nodes that are still of another class than their bucket's smallest,
 each is tested against the smallest of these, against one drawn by a hash (another one in each band), and against the node before it when the bucket is sorted
-by the other bands, which puts like texts side by side. So a link is missed only if it goes untested in all bands that both
-share.
+by the other bands, which puts like texts side by side. At last all pairs of a bucket whose nodes are of different classes are
+taken, whatever their class and the bucket's size, and tested in rounds until each is tested or of one class. A bucket of more
+than SMALL nodes is cut into blocks for this, every block meets every block, and pairs that the word counts rule out (by
+length, or by the words that both have in each of BAGS hash groups) need no alignment. So a link is missed only if its texts share
+no band; the pairs that are compared grow with the square of a bucket that holds many classes.
 
 A pair is verified by alignment: edit similarity 1 - d / max(n, m) over words of at least SIMILARITY. Shared k-mers that are
 unique in both texts anchor the alignment; between anchors a banded dynamic programme counts the edits. The band is as wide
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 20, 2, 0.8
+SMALL, SIDE, BAGS = 16, 256, 128  # none changes a result
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -221,6 +225,42 @@ def _verifier(least: float):
     return run
 
 
+def _bagger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many words a text has, in all and in each hash group."""
+    for batch in batches:
+        hashes = [word_hashes(t.split()) for t in batch["text"]]
+        bags = [np.minimum(np.bincount((h % np.uint64(BAGS)).astype(np.int64), minlength=BAGS), 65535).astype("<u2").tobytes() for h in hashes]
+        yield pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(h) for h in hashes], "bag": bags})
+
+
+def _crosser(least: float):
+    """The pairs of two blocks of a bucket (or of one) that are of different classes, have no earlier band in common and could be similar by their word counts."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["block", "node"])
+        node, label, n = (part[c].to_numpy(np.int64) for c in ("node", "label", "n"))
+        bag = np.frombuffer(b"".join(part["bag"]), "<u2").reshape(len(part), BAGS)
+        earlier = np.array(part["sketch"].tolist(), np.int64)[:, : int(part["band"].iloc[0])]
+        two = part["lo"].iloc[0] != part["hi"].iloc[0]
+        cut = int((part["block"] == part["lo"]).sum()) if two else len(part)
+        a, b = [], []
+        for i in range(cut):
+            at = (cut if two else i + 1) + np.flatnonzero(label[cut if two else i + 1 :] != label[i])
+            longest = np.maximum(n[at], n[i])
+            most = ((1 - least) * longest + 1e-9).astype(np.int64)
+            near = longest - np.minimum(n[at], n[i]) <= most
+            at, longest, most = at[near], longest[near], most[near]
+            near = ~(earlier[at] == earlier[i]).any(axis=1)
+            at, longest, most = at[near], longest[near], most[near]
+            both = np.minimum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
+            at = at[(longest - both <= most) | (longest > 65535)]  # longer texts may fill a group's 16 bits
+            a.append(np.maximum(node[at], node[i]))
+            b.append(np.minimum(node[at], node[i]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return run
+
+
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
     """node, label (the smallest node of its component) of every node in links (a, b). Each round takes the smallest label around and then that label's own label; rounds go on until none changes."""
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-links")
@@ -279,8 +319,30 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     mate = F.struct(F.lag("node").over(beside).alias("node"), F.lag("label").over(beside).alias("label"))
     more = others.withColumn("mate", mate).select("node", "label", F.explode(F.array(F.col("second"), F.col("d.n"), F.when(F.col("mate.label") != F.col("label"), F.col("mate.node")))).alias("other"))
     more = more.join(named("other", "lo"), "other", "left").where(F.col("label") != F.coalesce("lo", "other")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    second = tested(more.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    links = written(first.union(second).where("linked").select("a", "b"), "near-links")
+    first = first.unionByName(tested(more.join(first.select("a", "b"), ["a", "b"], "left_anti")))
+    labels = components(first.where("linked"), "near-first")
+    of = rows.select("node", "band", "bucket").join(named("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = of.groupBy("band", "bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    of = written(of.join(mixed.select("band", "bucket", "many"), ["band", "bucket"]), "near-mixed")
+    small = of.where(F.col("many") <= SMALL).drop("many")
+    small = small.toDF("node", "band", "bucket", "label").join(small.toDF("other", "band", "bucket", "lo"), ["band", "bucket"]).where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    large = of.where(F.col("many") > SMALL)
+    bags = texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, "node long, n long, bag binary").join(nodes.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("many") / SIDE)
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    large = large.select("node", "label", "band", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(written(bags, "near-bags"), "node")
+    large = large.groupBy("band", "bucket", "lo", "hi").applyInPandas(_crosser(least), "a long, b long")
+    left = written(small.union(large).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
+    take = 1
+    while True:  # a node's tests with one class: 1, then 8, 64 ... more of them
+        apart = left.join(named("a", "la"), "a", "left").join(named("b", "lb"), "b", "left").withColumn("lb", F.coalesce("lb", "b")).where(F.coalesce("la", "a") != F.col("lb"))
+        left = written(apart.select("a", "b", F.row_number().over(Window.partitionBy("a", "lb").orderBy("b")).alias("nth")), "near-left")
+        if left.isEmpty():
+            break
+        first = first.unionByName(tested(left.where(F.col("nth") <= take).select("a", "b")))
+        labels = components(first.where("linked"), "near-first")
+        left, take = left.where(F.col("nth") > take).select("a", "b"), take * 8
+    links = written(first.where("linked").select("a", "b"), "near-links")
     found = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_doc = member.join(found, "node", "left").join(degree, "node", "left").withColumnRenamed("node", "__node").withColumnRenamed("doc_id", "__doc")

@@ -373,6 +373,30 @@ def test_near_finds_what_brute_force_finds(spark, sf_dir):
             assert any(label[j] == c and j != i and near.similar(text[i], text[j]) for j in text)
 
 
+def crowd(n, of):
+    """Copies of one text with many words changed, and other texts that have boilerplate in common and two copies each."""
+    r = random.Random(12)
+    base, plate = prose(70, 200), prose(71, 60)
+    rows = [(i, changed(base, r, r.uniform(0.05, 0.12))) for i in range(n)]
+    for k in range(of):
+        own = plate + " " + prose(8000 + k, 60, 4000)
+        rows += [(n + 3 * k + j, changed(own, r, 0.04 + 0.03 * j)) for j in range(3)]
+    return rows
+
+
+def test_near_tests_all_pairs_of_crowded_buckets(spark):
+    rows = crowd(160, 60)
+    words = {i: near.word_hashes(t.split()) for i, t in rows}
+    sketch = {i: near.order_minhash(h) for i, h in words.items()}
+    want = {i: i for i, _ in rows}
+    for a, b in itertools.combinations(want, 2):
+        if want[a] != want[b] and (sketch[a] == sketch[b]).any() and near.similar(rows[a][1], rows[b][1]):
+            low, high = sorted((want[a], want[b]))
+            want = {i: low if c == high else c for i, c in want.items()}
+    got = {x.doc_id: x.class_id for x in near.near_duplicate_classes(docs_of(spark, rows)).collect()}
+    assert got == want
+
+
 def test_pieces(spark, odd_docs):
     import sentencepiece
 
