@@ -6,8 +6,7 @@ came before), takes the PICK smallest and keeps them in text order, so moved pas
 are candidates; a bucket's pairs are never all with all. First each node is tested against the
 smallest node of all its buckets, which joins most of a large group at a test a node. Then it is tested against the smallest
 node of each bucket that is not of its class yet. Of the nodes that are still of another class than their bucket's smallest,
-each is tested against the smallest of these, against one drawn by a hash (another one in each band), and against the node before it when the bucket is sorted
-by the other bands, which puts like texts side by side. At last all pairs of a bucket whose nodes are of different classes are
+each is tested against the smallest of these and against one drawn by a hash (another one in each band). At last all pairs of a bucket whose nodes are of different classes are
 taken, whatever their class and the bucket's size, and tested in rounds until each is tested or of one class. A bucket of more
 than SMALL nodes is cut into blocks for this, every block meets every block, and pairs that the word counts rule out (by
 length, or by the words that both have in each of BAGS hash groups) need no alignment. So a link is missed only if its texts share
@@ -310,14 +309,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     labels = components(first.where("linked"), "near-first")
     of = rows.select("node", "band", "bucket", "b").join(named("node", "label"), "node", "left").join(named("b", "lb"), "b", "left")
     of = of.withColumn("label", F.coalesce("label", "node")).where(F.col("label") != F.coalesce("lb", "b")).select("node", "band", "bucket", "label")
-    others = written(of.join(nodes.select("node", "sketch"), "node"), "near-others")
+    others = written(of, "near-others")
     drawn = F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("n"))
-    heads = others.groupBy("band", "bucket").agg(F.min("node").alias("second"), F.min(drawn).alias("d"), F.count("*").alias("many"))
-    others = others.join(heads, ["band", "bucket"]).withColumn("salt", F.when(F.col("many") > 2000, F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / 1000))).otherwise(0))
-    turned = F.concat(F.slice("sketch", F.col("band") + 2, bands), F.slice("sketch", 1, F.col("band") + 1))
-    beside = Window.partitionBy("band", "bucket", "salt").orderBy(turned, "node")
-    mate = F.struct(F.lag("node").over(beside).alias("node"), F.lag("label").over(beside).alias("label"))
-    more = others.withColumn("mate", mate).select("node", "label", F.explode(F.array(F.col("second"), F.col("d.n"), F.when(F.col("mate.label") != F.col("label"), F.col("mate.node")))).alias("other"))
+    heads = others.groupBy("band", "bucket").agg(F.min("node").alias("second"), F.min(drawn).alias("d"))
+    more = others.join(heads, ["band", "bucket"]).select("node", "label", F.explode(F.array(F.col("second"), F.col("d.n"))).alias("other"))
     more = more.join(named("other", "lo"), "other", "left").where(F.col("label") != F.coalesce("lo", "other")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     first = first.unionByName(tested(more.join(first.select("a", "b"), ["a", "b"], "left_anti")))
     labels = components(first.where("linked"), "near-first")

@@ -384,7 +384,8 @@ def crowd(n, of):
     return rows
 
 
-def test_near_tests_all_pairs_of_crowded_buckets(spark):
+def test_near_tests_all_pairs_of_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near, "SIDE", 20)
     rows = crowd(160, 60)
     words = {i: near.word_hashes(t.split()) for i, t in rows}
     sketch = {i: near.order_minhash(h) for i, h in words.items()}
@@ -397,6 +398,22 @@ def test_near_tests_all_pairs_of_crowded_buckets(spark):
     assert got == want
 
 
+def test_near_blocks_keep_every_pair():
+    import pandas as pd
+
+    rows = crowd(60, 20)
+    sketch = [near.order_minhash(near.word_hashes(t.split())) for _, t in rows]
+    part = next(near._bagger(iter([pd.DataFrame(rows, columns=["node", "text"])])))
+    part = part.assign(label=part["node"] // 4, sketch=sketch, band=2, block=part["node"] % 3)
+    got = []
+    for lo, hi in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)):
+        got += near._crosser(0.8)(part[part["block"].isin((lo, hi))].assign(lo=lo, hi=hi)).itertuples(index=False, name=None)
+    assert len(got) == len(set(got))
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        if a // 4 != b // 4 and not (sketch[a][:2] == sketch[b][:2]).any() and near.similar(x, y):
+            assert (b, a) in got
+
+
 def test_pieces(spark, odd_docs):
     import sentencepiece
 
