@@ -53,7 +53,7 @@ def cohen_kappa(df: DataFrame, keys: list[str], a: str, b: str, labels: list) ->
     return got.select(*keys, "n", po.alias("agreement"), ((po - chance) / F.when(chance < 1, 1 - chance)).alias("kappa"))
 
 
-def bootstrap_difference(df: DataFrame, keys: list[str], relation: str, a: str, b: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap_difference(df: DataFrame, keys: list[str], relation: str, a: str, b: str, replicates: int = 10_000, seed: int = 0) -> DataFrame:
     """Stratified bootstrap of the macro difference mean(b) - mean(a): within each relation rows are drawn again with
     replacement. A relation's rows only matter by how many have each pair of values, so each replicate is a multinomial draw
     of those counts: what comes to a task is one row for each (key, relation, pair), however many facts there are."""

@@ -54,6 +54,12 @@ def test_quota_and_split_invariants(spark):
     assert parts.count() == 997 and splits.shared_keys(parts, ["id"], "part").isEmpty()
 
 
+def test_bootstrap_draws_as_often_as_the_survey_says():
+    import inspect
+
+    assert inspect.signature(stats.bootstrap_difference).parameters["replicates"].default == 10_000
+
+
 def test_mcnemar_matches_exact_binomials(spark):
     import math
 
