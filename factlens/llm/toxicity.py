@@ -207,7 +207,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     least = max(min(MIN_GROUPS, size[1]), MIN_SHARE * size[1])
     marked = {w for w, k in seen[1].items() if k >= least and ((k + 0.5) / (size[1] + 1)) / ((seen[0][w] + 0.5) / (size[0] + 1)) >= min(MIN_RATIO, size[0] / 2) and by_chance(k, k + seen[0][w]) <= CHANCE}
     every = seen[0] + seen[1]
-    vocabulary = sorted(w for w, k in every.most_common(MAX_WORDS) if k >= 3 or w in marked)
+    vocabulary = sorted({w for w, k in every.most_common(MAX_WORDS) if k >= 3} | marked)
     column = {w: i for i, w in enumerate(vocabulary)}
     none = len(vocabulary)  # for what the vocabulary lacks; its weight stays 0
     lengths = np.array([len(d) for d in docs])

@@ -118,6 +118,13 @@ def test_toxicity(spark, sf_dir):
     assert toxicity.fit_labelled(docs_of(spark, rows), labels).weights == {}
 
 
+def test_toxicity_keeps_marked_words_beyond_the_vocabulary(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 20)
+    words = [prose(s, 60, 100) for s in range(100)]
+    model = toxicity.fit([w.replace(" ", " zurgle ", 3) for w in words[:30]] + words[30:], [1] * 30 + [0] * 70)
+    assert model.weights.get("zurgle", 0) > 0
+
+
 def test_toxicity_held_out(spark):
     from factlens.llm.queries import op2_toxicity
 
