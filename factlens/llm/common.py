@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a folder of its own (tests); a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='factlens-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -59,6 +61,30 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext._factlens_shipped = True
 
 
+ONE_TASK = 8192
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined to side, which has one row a key at most, where any share of rows may have one key.
+
+    A key with over 1 / (4 * partitions) of all rows is hot: there are fewer than 4 * partitions of them, so their table is
+    broadcast, their rows are dealt over as many tasks as they would fill, and side's row goes to each. Up to ONE_TASK rows
+    in all are no load for any task and are joined as they are. rows should be a table, as it is counted first. counts: key,
+    many (rows of the key, in these rows or in a larger table of them), where that is known.
+    """
+    n = rows.count() if counts is None else counts.agg(F.sum("many")).first()[0] or 0
+    if n <= ONE_TASK:
+        return rows.join(side, key, how)
+    limit = max(1, n // (4 * n_partitions(rows.sparkSession)))
+    many = rows.groupBy(key).agg(F.count("*").alias("many")) if counts is None else counts
+    hot = many.where(F.col("many") > limit).select(key, F.ceil(F.col("many") / limit).cast("int").alias("__parts"))
+    if hot.isEmpty():
+        return rows.join(side, key, how)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")), F.lit(0).cast("long"))).drop("__parts")
+    copied = side.join(F.broadcast(hot), key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)).cast("long") - 1))).drop("__parts")
+    return dealt.join(copied, [key, "__s"], how).drop("__s")
+
+
 def id_crc(doc_id: str | Column) -> Column:
     """crc32 of an id as text; of an empty text where it is null."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")))

@@ -1,40 +1,41 @@
 """Operator 9: near-duplicate classes by Order MinHash, verified by banded alignment.
 
 Words are white-space separated. Texts with the same words are one node, named by the smallest id (exact copies need no
-sketch). A node's sketch: each of BANDS bands hashes every occurrence-labelled k-mer (its K words, and how often these words
-came before), takes the PICK smallest and keeps them in text order, so moved passages change it. Nodes that agree in a band
-are candidates; a bucket's pairs are never all with all. First each node is tested against the
-smallest node of all its buckets, which joins most of a large group at a test a node. Then it is tested against the smallest
-node of each bucket that is not of its class yet. Of the nodes that are still of another class than their bucket's smallest,
-each is tested against the smallest of these and against one drawn by a hash (another one in each band). At last all pairs of a bucket whose nodes are of different classes are
-taken, whatever their class and the bucket's size, and tested in rounds until each is tested or of one class. A bucket of more
-than SMALL nodes is cut into blocks for this, every block meets every block, and pairs that the word counts rule out (by
-length, or by the words that both have in each of BAGS hash groups) need no alignment. So a link is missed only if its texts share
-no band; the pairs that are compared grow with the square of a bucket that holds many classes.
-
-A pair is verified by alignment: edit similarity 1 - d / max(n, m) over words of at least SIMILARITY. Shared k-mers that are
-unique in both texts anchor the alignment; between anchors a banded dynamic programme counts the edits. The band is as wide
-as the edits still allowed, so the count is exact inside a gap; if the anchored alignment exceeds the allowed edits while the
-texts' word counts leave a chance, the whole pair is aligned in a band of that width, which is exact.
-
-Classes are the connected components of verified links, by rounds of smallest-label propagation over tables.
+alignment). A node's sketch: each of BANDS hash functions orders the occurrence-labelled k-mers (K words, and how often these
+words came before); the PICK smallest are kept in text order, and every two of them, in that order, are a key, so moved
+passages change it. Nodes that share a key are candidates. All pairs of a key's nodes that are of different classes are
+tested or become of one class, whatever the size of the group:
+
+1. each node is tested against the smallest node of all its keys, which joins most of a large group at a test a node;
+2. against the smallest node of each key that is not of its class yet;
+3. where nodes still are of another class than their key's smallest: against the smallest of these, and a drawn one;
+4. all pairs that are left, in rounds. Groups of more than SMALL nodes are cut into blocks, every block meets every block,
+   and pairs that the word counts rule out (by length, or by the words that both have in each of BAGS hash groups) need no
+   alignment. What is compared here grows with the square of a group that holds many classes.
+
+So a link is missed only if its texts share no key. A pair is verified by alignment: edit similarity 1 - d / max(n, m) over
+words of at least SIMILARITY. Word, pair and triple counts rule out what cannot reach it; k-mers that are unique in both texts
+anchor a first alignment, whose gaps are counted exactly; if it exceeds the allowed edits, the whole pair is aligned in a band
+that widens by one diagonal for each edit found, which is exact and takes time by the edits, not by the texts' product.
+
+Classes are the connected components of verified links: smallest labels spread over links between classes. A key, a leader or
+a class that holds a large share of all rows is dealt over several tasks in every join (common.dealt_join).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, written
+from .common import dealt_join, importable, written
 
-K, BANDS, PICK, SIMILARITY = 5, 20, 2, 0.8
-SMALL, SIDE, BAGS = 16, 256, 128  # none changes a result
+K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
+SMALL, SIDE, BAGS = 16, 256, 128  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -72,56 +73,92 @@ def _labelled(g: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(h: np.ndarray, bands: int = BANDS, pick: int = PICK, k: int = K) -> np.ndarray:
-    """One signed 64-bit number for each band."""
+    """The keys, signed 64-bit numbers: at most pick * (pick - 1) / 2 for each band. A text of one k-mer has that as its key."""
     g = _labelled(kmer_hashes(h, k))
+    n = len(g)
+    if n == 1:
+        return _mix(g + np.uint64(1)).view(np.int64)
     salts = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-    out = np.empty(bands, np.uint64)
-    step = max(1, 400_000 // len(g))
-    for at in range(0, bands, step):
-        s = salts[at : at + step, None]
-        x = (g[None, :] ^ (s >> np.uint64(7))) * s
-        x ^= x >> np.uint64(29)
-        if len(g) > pick:
-            low = np.sort(np.argpartition(x, pick - 1, axis=1)[:, :pick], axis=1)  # in text order
-        else:
-            low = np.broadcast_to(np.arange(len(g)), (len(s), len(g)))
-        v = np.zeros(len(s), np.uint64)
-        for j in range(low.shape[1]):
-            v = _mix(v * np.uint64(0x9E3779B97F4A7C15) + g[low[:, j]] + np.uint64(1))
-        out[at : at + step] = v
-    return out.view(np.int64)
+    if n <= pick:
+        low = np.arange(n)[None, :]
+    else:
+        low = np.empty((bands, pick), np.int64)
+        for i, s in enumerate(salts):
+            x = (g ^ (s >> np.uint64(7))) * s
+            x ^= x >> np.uint64(29)
+            low[i] = np.argpartition(x, pick - 1)[:pick]
+        low.sort(axis=1)  # in text order
+    i, j = np.triu_indices(low.shape[1], 1)
+    v = _mix(_mix(g[low[:, i]] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + g[low[:, j]])
+    return np.unique(v).view(np.int64)
+
+
+def _slide(a: np.ndarray, b: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
+    """Moves each place (i, i + d) on over equal words, in place."""
+    n, m = len(a), len(b)
+    at = np.flatnonzero((i < n) & (i + d < m))
+    for _ in range(6):
+        if not len(at):
+            return
+        at = at[a[i[at]] == b[i[at] + d[at]]]
+        i[at] += 1
+        at = at[(i[at] < n) & (i[at] + d[at] < m)]
+    for k in at.tolist():  # the few long runs, by growing stretches
+        p, shift, step = int(i[k]), int(d[k]), 64
+        while p < n and p + shift < m:
+            w = min(step, n - p, m - p - shift)
+            x = np.flatnonzero(a[p : p + w] != b[p + shift : p + shift + w])
+            if len(x):
+                p += int(x[0])
+                break
+            p, step = p + w, step * 4
+        i[k] = p
 
 
 def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences if it is at most `most`, else most + 1. Diagonals -most to most only."""
+    """Edit distance of two sequences if it is at most `most`, else most + 1.
+
+    far[k] is the furthest place on diagonal k that e edits reach; with each edit the band grows by a diagonal on both sides,
+    without those from which the end is out of reach.
+    """
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    goal = m - n
+    if abs(goal) > most:
         return most + 1
     if not n or not m:
         return max(n, m)
-    w = min(most, max(n, m))
-    big = n + m + 1
-    d = np.arange(-w, w + 1)
-    row = np.where(d >= 0, d, big)  # distance of a[:0] and b[:d]
-    row = np.where(d <= m, row, big)
-    slide = np.arange(2 * w + 1)
-    for i in range(1, n + 1):
-        j = i + d
-        inside = (j >= 0) & (j <= m)
-        same = np.zeros(len(d), bool)
-        k = np.flatnonzero((j >= 1) & (j <= m))
-        same[k] = b[j[k] - 1] == a[i - 1]
-        new = np.minimum(row + ~same, np.concatenate([row[1:], [big]]) + 1)
-        new = np.where(j == 0, i, np.where(inside, new, big))
-        new = np.minimum.accumulate(new - slide) + slide  # insertions along the row
-        row = np.where(inside, np.minimum(new, big), big)
-        if row.min() > most:
-            return most + 1
-    return min(int(row[w + m - n]), most + 1)
+    most_e = min(most, max(n, m))
+    c = most_e + 1  # place of diagonal 0
+    far = np.full(2 * most_e + 3, -(1 << 40), np.int64)
+    low = high = 0
+    for e in range(most_e + 1):
+        if e:
+            low, high = max(-e, -n, goal - (most_e - e)), min(e, m, goal + (most_e - e))
+            if low > high:
+                return most + 1
+            x, y = c + low, c + high + 1
+            d = np.arange(low, high + 1)
+            i = np.maximum(np.maximum(far[x:y] + 1, far[x - 1 : y - 1]), far[x + 1 : y + 1] + 1)
+            i = np.minimum(np.minimum(i, n), m - d)
+        else:
+            x, y, d, i = c, c + 1, np.zeros(1, np.int64), np.zeros(1, np.int64)
+        _slide(a, b, i, d)
+        far[x:y] = i
+        if low <= goal <= high and far[c + goal] >= n:
+            return e
+    return most + 1
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two bags have in common."""
+    u, nu = np.unique(x, return_counts=True)
+    v, nv = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(nu[i], nv[j]).sum())
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = K) -> int:
-    """Exact if at most `most`; else any larger number."""
+    """At most `most` if and only if the edit distance is; then the number of edits of an alignment, else any larger number."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
@@ -135,10 +172,12 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = K) -> int:
     a, b = a[: len(a) - trail], b[: len(b) - trail]
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    ca, cb = Counter(a.tolist()), Counter(b.tolist())
-    if max(len(a), len(b)) - sum((ca & cb).values()) > most:  # no alignment keeps more words than both have
-        return most + 1
-    if len(a) <= 2 * k or len(b) <= 2 * k or max(len(a), len(b)) <= 64:
+    longest = max(len(a), len(b))
+    for q in (1, 2, 3):  # an edit changes at most q runs of q words
+        need = longest - q + 1 - q * most
+        if need > 0 and (min(len(a), len(b)) < q or _shared(kmer_hashes(a, q), kmer_hashes(b, q)) < need):
+            return most + 1
+    if len(a) <= 2 * k or len(b) <= 2 * k or longest <= 32:
         return _banded(a, b, most)
     ga, gb = kmer_hashes(a, k), kmer_hashes(b, k)
     ua, ia, na = np.unique(ga, return_index=True, return_counts=True)
@@ -150,28 +189,20 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = K) -> int:
     near = np.abs(pa - pb) <= most  # other diagonals cannot be on an alignment this good
     pa, pb = pa[near], pb[near]
     total, i, j = 0, 0, 0
-    for p, q in _chain(pa, pb, k):
-        if p < i or q < j:  # overlaps the anchor before
-            s = max(i - p, j - q)
-            if s >= k:
-                continue
-            p, q = p + s, q + s
-            length = k - s
-        else:
-            length = k
+    for p, q in [*_chain(pa, pb), (len(a), len(b))]:
+        over = max(i - p, j - q, 0)  # words that the anchor before has too
+        if over >= k:
+            continue
+        p, q, length = p + over, q + over, k - over
         if p > i or q > j:
-            total += _banded(a[i:p], b[j:q], max(p - i, q - j) if max(p - i, q - j) <= most - total else most - total)
+            total += int(a[i] != b[j]) if p - i == q - j == 1 else _banded(a[i:p], b[j:q], most - total)
             if total > most:
-                break
+                return _banded(a, b, most)
         i, j = p + length, q + length
-    else:
-        total += _banded(a[i:], b[j:], most - total) if total <= most else 0
-        if total <= most:
-            return total
-    return _banded(a, b, most)
+    return total
 
 
-def _chain(pa: np.ndarray, pb: np.ndarray, k: int) -> list[tuple[int, int]]:
+def _chain(pa: np.ndarray, pb: np.ndarray) -> list[tuple[int, int]]:
     """The longest run of anchors that rises in both texts."""
     from bisect import bisect_left
 
@@ -233,13 +264,14 @@ def _bagger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _crosser(least: float):
-    """The pairs of two blocks of a bucket (or of one) that are of different classes, have no earlier band in common and could be similar by their word counts."""
+    """The pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts. Nodes that share several keys are a pair of the smallest one."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["block", "node"])
-        node, label, n = (part[c].to_numpy(np.int64) for c in ("node", "label", "n"))
+        node, label = part["node"].to_numpy(), part["label"].to_numpy()
+        n = part["n"].to_numpy(np.int64)
         bag = np.frombuffer(b"".join(part["bag"]), "<u2").reshape(len(part), BAGS)
-        earlier = np.array(part["sketch"].tolist(), np.int64)[:, : int(part["band"].iloc[0])]
+        sketch, bucket = part["sketch"].tolist(), int(part["bucket"].iloc[0])
         two = part["lo"].iloc[0] != part["hi"].iloc[0]
         cut = int((part["block"] == part["lo"]).sum()) if two else len(part)
         a, b = [], []
@@ -249,13 +281,13 @@ def _crosser(least: float):
             most = ((1 - least) * longest + 1e-9).astype(np.int64)
             near = longest - np.minimum(n[at], n[i]) <= most
             at, longest, most = at[near], longest[near], most[near]
-            near = ~(earlier[at] == earlier[i]).any(axis=1)
-            at, longest, most = at[near], longest[near], most[near]
             both = np.minimum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
             at = at[(longest - both <= most) | (longest > 65535)]  # longer texts may fill a group's 16 bits
-            a.append(np.maximum(node[at], node[i]))
-            b.append(np.minimum(node[at], node[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            for j in at.tolist():
+                if np.intersect1d(sketch[i], sketch[j], assume_unique=True)[0] == bucket:
+                    a.append(max(node[i], node[j]))
+                    b.append(min(node[i], node[j]))
+        return pd.DataFrame({"a": np.array(a, node.dtype), "b": np.array(b, node.dtype)})
 
     return run
 
@@ -265,81 +297,97 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("around"))
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "around").alias("new"))
-        hop = labels.select(F.col("node").alias("new"), F.col("label").alias("over"))
-        step = written(step.join(hop, "new", "left").select("node", F.col("label").alias("was"), F.least("new", F.coalesce("over", "new")).alias("label")), f"{name}-labels")
+        near = dealt_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("around"))
+        step = written(labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "around").alias("new")), f"{name}-step")
+        hop = labels.where("node <> label").select(F.col("node").alias("new"), F.col("label").alias("over"))
+        step = written(dealt_join(step, hop, "new", "left").select("node", "was", F.least("new", "over").alias("label")), f"{name}-labels")
         labels = step.select("node", "label")
         if step.where(F.col("was") != F.col("label")).isEmpty():
             return labels
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, pick: int = PICK, k: int = K) -> DataFrame:
-    """doc_id, class_id (the smallest id of the class), n_links (verified links of its node), is_copy (same words as a smaller id).
+    """doc_id, class_id (the smallest id of the class), n_links (tested links of its node), is_copy (same words as a smaller id).
 
-    One row for each row of docs. Rows that share an id share a class: that of the smallest id among the copies of their texts. Null, empty and white-space texts,
-    and rows without an id, are classes of their own: their class_id is their id (null for null). Very long texts are read
-    whole. No rows give no rows. Other columns are not read.
+    One row for each row of docs. Ids may be of any type that has an order (strings are ordered as such). Rows that share an
+    id share a class: that of the smallest id among the copies of their texts. Null, empty and white-space texts, and rows
+    without an id, are classes of their own: their class_id is their id (null for null). Very long texts are read whole. No
+    rows give no rows. Other columns are not read.
     """
     importable(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     real = F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")
-    sketches = written(base.where(real).mapInPandas(_sketcher(bands, pick, k), "doc_id long, key binary, sketch array<bigint>"), "near-sketches")
-    nodes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "near-nodes")
-    member = sketches.select("doc_id", "key").distinct().join(nodes.select("key", "node"), "key").groupBy("doc_id").agg(F.min("node").alias("node"))
-    rows = nodes.select("node", F.posexplode("sketch").alias("band", "bucket"))
-    lead = rows.groupBy("band", "bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("band", "bucket", "b")
-    rows = written(rows.join(lead, ["band", "bucket"]), "near-buckets")  # band, bucket, node, b (the smallest node there)
-    wanted = rows.select("node").distinct()
-    texts = written(base.where(real).join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text"), "near-texts")
+    sketches = written(base.where(real).mapInPandas(_sketcher(bands, pick, k), f"doc_id {kind}, key binary, sketch array<bigint>"), "near-sketches")
+    nodes = written(sketches.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("many"), F.first("sketch").alias("sketch")), "near-nodes")
+    member = dealt_join(sketches.select("doc_id", "key"), nodes.select("key", "node"), "key", counts=nodes.select("key", "many")).groupBy("doc_id").agg(F.min("node").alias("node"))
+    rows = nodes.select("node", F.explode("sketch").alias("bucket"))
+    lead = written(rows.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("many")).where("many > 1"), "near-leads")
+    counts = lead.select("bucket", "many")
+    rows = written(dealt_join(rows, lead, "bucket", counts=counts), "near-buckets")  # bucket, node, b (the smallest node there), many
+    texts = base.where(real).join(rows.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = written(texts, "near-texts")
 
     def tested(pairs: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        checked = pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verifier(least), "a long, b long, linked boolean")
+        pairs = written(pairs, "near-pairs")
+        by_a = pairs.groupBy("a").agg(F.count("*").alias("many"))
+        checked = dealt_join(dealt_join(pairs, side("b"), "b"), side("a"), "a", counts=by_a).mapInPandas(_verifier(least), f"a {kind}, b {kind}, linked boolean")
         return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "near-tested")
 
-    pairs = rows.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    own = pairs.groupBy("a").agg(F.min("b").alias("b"))  # one test a node joins most of a large group
-    first = tested(own)
-    labels = components(first.where("linked"), "near-first")
-    named = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
-    apart = pairs.join(named("a", "la"), "a", "left").join(named("b", "lb"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """a, b, la, lb of the pairs whose nodes are of different classes."""
+        named = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
+        both = dealt_join(dealt_join(pairs, named("a", "la"), "a", "left"), named("b", "lb"), "b", "left", counts=pairs.groupBy("b").agg(F.count("*").alias("many")))
+        return both.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
+
+    pairs = written(rows.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
+    first = tested(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    star = first.where("linked").select(F.col("a").alias("node"), F.col("b").alias("label"))  # a class in the making: skips tests only
+    apart = labelled(pairs, star).groupBy("a", "lb").agg(F.min("b").alias("b"))
     first = first.unionByName(tested(apart.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")))
     labels = components(first.where("linked"), "near-first")
-    of = rows.select("node", "band", "bucket", "b").join(named("node", "label"), "node", "left").join(named("b", "lb"), "b", "left")
-    of = of.withColumn("label", F.coalesce("label", "node")).where(F.col("label") != F.coalesce("lb", "b")).select("node", "band", "bucket", "label")
-    others = written(of, "near-others")
-    drawn = F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("n"))
-    heads = others.groupBy("band", "bucket").agg(F.min("node").alias("second"), F.min(drawn).alias("d"))
-    more = others.join(heads, ["band", "bucket"]).select("node", "label", F.explode(F.array(F.col("second"), F.col("d.n"))).alias("other"))
-    more = more.join(named("other", "lo"), "other", "left").where(F.col("label") != F.coalesce("lo", "other")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    first = first.unionByName(tested(more.join(first.select("a", "b"), ["a", "b"], "left_anti")))
-    labels = components(first.where("linked"), "near-first")
-    of = rows.select("node", "band", "bucket").join(named("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = of.groupBy("band", "bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    of = written(of.join(mixed.select("band", "bucket", "many"), ["band", "bucket"]), "near-mixed")
-    small = of.where(F.col("many") <= SMALL).drop("many")
-    small = small.toDF("node", "band", "bucket", "label").join(small.toDF("other", "band", "bucket", "lo"), ["band", "bucket"]).where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    large = of.where(F.col("many") > SMALL)
-    bags = texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, "node long, n long, bag binary").join(nodes.select("node", "sketch"), "node")
-    blocks = F.ceil(F.col("many") / SIDE)
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    large = large.select("node", "label", "band", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(written(bags, "near-bags"), "node")
-    large = large.groupBy("band", "bucket", "lo", "hi").applyInPandas(_crosser(least), "a long, b long")
-    left = written(small.union(large).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
-    take = 1
-    while True:  # a node's tests with one class: 1, then 8, 64 ... more of them
-        apart = left.join(named("a", "la"), "a", "left").join(named("b", "lb"), "b", "left").withColumn("lb", F.coalesce("lb", "b")).where(F.coalesce("la", "a") != F.col("lb"))
-        left = written(apart.select("a", "b", F.row_number().over(Window.partitionBy("a", "lb").orderBy("b")).alias("nth")), "near-left")
-        if left.isEmpty():
-            break
-        first = first.unionByName(tested(left.where(F.col("nth") <= take).select("a", "b")))
+
+    def of_class() -> DataFrame:
+        named = labels.select("node", "label")
+        return rows.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    others = dealt_join(written(of_class(), "near-of"), lb, "b", "left").where(F.col("label") != F.coalesce("lb", "b")).select("node", "bucket", "label")
+    others = written(others, "near-others")
+    if not others.isEmpty():
+        drawn = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("n"))
+        heads = others.groupBy("bucket").agg(F.min("node").alias("second"), F.min(drawn).alias("d"))
+        more = dealt_join(others, heads, "bucket", counts=counts).select("node", F.explode(F.array(F.col("second"), F.col("d.n"))).alias("other"))
+        more = written(more.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "near-drawn")
+        first = first.unionByName(tested(labelled(more, labels).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")))
         labels = components(first.where("linked"), "near-first")
-        left, take = left.where(F.col("nth") > take).select("a", "b"), take * 8
-    links = written(first.where("linked").select("a", "b"), "near-links")
-    found = components(links)
+        of = written(of_class().select("node", "bucket", "label"), "near-of")
+        mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        of = written(dealt_join(of, mixed.select("bucket", "many"), "bucket", counts=counts), "near-mixed")
+        small = of.where(F.col("many") <= SMALL).drop("many")
+        small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        large = of.where(F.col("many") > SMALL)
+        bags = texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary").join(nodes.select("node", "sketch"), "node")
+        blocks = F.ceil(F.col("many") / SIDE)
+        large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+        large = dealt_join(written(large, "near-blocks"), written(bags, "near-bags"), "node")
+        large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least), f"a {kind}, b {kind}")
+        left = written(small.union(large).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
+        take = 1
+        while not left.isEmpty():  # a node's tests with one class: 1, then up to 8, 64 ... more of them
+            left = written(labelled(left, labels), "near-left")
+            chosen = left.groupBy("a", "lb", F.pmod(F.xxhash64("b"), F.lit(take)).alias("draw")).agg(F.min("b").alias("b")).select("a", "b")
+            if left.isEmpty():
+                break
+            first = first.unionByName(tested(chosen))
+            labels = components(first.where("linked"), "near-first")
+            left, take = written(left.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left"), take * 8
+    links = first.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_doc = member.join(found, "node", "left").join(degree, "node", "left").withColumnRenamed("node", "__node").withColumnRenamed("doc_id", "__doc")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(of_doc, F.col("doc_id") == F.col("__doc"), "left")
+    of_node = labels.join(degree, "node", "left")
+    of_doc = dealt_join(written(member, "near-members"), of_node, "node", "left").withColumnRenamed("node", "__node").withColumnRenamed("doc_id", "__doc")
+    out = docs.select(F.col(id_col).alias("doc_id")).join(of_doc, F.col("doc_id") == F.col("__doc"), "left")
     return out.select("doc_id", F.coalesce("label", "__node", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("__node") != F.col("doc_id"), F.lit(False)).alias("is_copy"))
