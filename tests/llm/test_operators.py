@@ -153,6 +153,43 @@ def test_html(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_what_is_no_listed_kind():
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p title=O'Brien>This isn't lost.</p><p>{}</p></article><footer>f</footer>"
+    for inner in ("<math><mi>x</mi></math>", "<canvas>seen</canvas>", "<object>seen</object>", "<map>seen</map>", "<span hidden>seen</span>"):
+        assert html_text.main_text(page.format(inner)).startswith("Title\nThis isn't lost.\n"), inner
+    for name in ('class="tags"', 'class="side"', 'class="social proof"', 'class="comment-free"', 'class="related quote"', "id=search", 'class="has-sidebar"', 'class="headers-explained"'):
+        assert html_text.main_text(page.format("").replace("<p>", f"<p {name}>seen")).endswith("seen"), name
+    for name in ("class=ad", "class='x cookie-notice'", "id=comments", "class=commentList", "role=navigation", "class='post-comments'", "class=site-footer"):
+        assert html_text.main_text(page.format("").replace("<p>", f"<p {name}>gone")) == "Title\nThis isn't lost.", name
+    wrapped = page.format("body text").replace("<body>", "<body><form class='page-overlay'><div class=sidebar>").replace("<footer>", "</div></form><footer>")
+    assert html_text.main_text(wrapped) == "Title\nThis isn't lost.\nbody text"
+    own = page.format("body text").replace("<h1>", "<header><h1>").replace("</h1>", "</h1></header>")
+    assert html_text.main_text(own) == "Title\nThis isn't lost.\nbody text"
+    many = "<article><p>The one article of this page.</p><section id=comments>" + "<article class=comment><p>A long reader comment that says much more than it.</p></article>" * 9 + "</section></article>"
+    assert html_text.main_text(many) == "The one article of this page."
+    assert html_text.main_text("<p a=\"x>y</p> <b c='>kept</b>") == "y\nkept"
+    assert html_text.main_text("a < b <3 <!-- c --!> d <!--> e <?x?> f </ g> h") == "a < b <3 d e f h"
+
+
+def test_html_without_article_elements(spark, sf_dir):
+    """The densities alone find the article: every page of the table, its article turned into a plain div, gives the same text."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for h in pages:
+        want = html_text.main_text(h)
+        assert html_text.main_text(h.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+        assert want in html_text.main_text(re.sub(r"(</?)(article|nav|footer)>", r"\1div>", h).replace(' class="ad"', ""))  # no names at all: nothing of the article goes
+
+
+def test_html_takes_time_by_length():
+    import time
+
+    paragraph = "<p>" + prose(4, 60) + "</p>"
+    for page in ("<div>" * 100_000 + "<p>deep", '<a "x ' * 100_000, "<b>foo<div>x" * 50_000, "<ul><li>x" * 50_000, '<a b="x ' * 100_000 + ">y", "<p><table><tr><td>x" * 30_000, "<article>" + paragraph * (5_000_000 // len(paragraph))):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 20
+
+
 def test_html_on_pages(spark, sf_dir):
     import html
 
