@@ -64,7 +64,7 @@ def importable(spark: SparkSession) -> None:
 ONE_TASK = 8192
 
 
-def dealt_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:
+def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:
     """rows joined to side, which has one row a key at most, where any share of rows may have one key.
 
     A key with over 1 / (4 * partitions) of all rows is hot: there are fewer than 4 * partitions of them, so their table is
@@ -72,17 +72,19 @@ def dealt_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", *
     in all are no load for any task and are joined as they are. rows should be a table, as it is counted first. counts: key,
     many (rows of the key, in these rows or in a larger table of them), where that is known.
     """
+    keys = [key] if isinstance(key, str) else key
     n = rows.count() if counts is None else counts.agg(F.sum("many")).first()[0] or 0
     if n <= ONE_TASK:
-        return rows.join(side, key, how)
+        return rows.join(side, keys, how)
     limit = max(1, n // (4 * n_partitions(rows.sparkSession)))
-    many = rows.groupBy(key).agg(F.count("*").alias("many")) if counts is None else counts
-    hot = many.where(F.col("many") > limit).select(key, F.ceil(F.col("many") / limit).cast("int").alias("__parts"))
+    many = rows.groupBy(*keys).agg(F.count("*").alias("many")) if counts is None else counts
+    hot = many.where(F.col("many") > limit).select(*keys, F.ceil(F.col("many") / limit).alias("__parts"))
     if hot.isEmpty():
-        return rows.join(side, key, how)
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")), F.lit(0).cast("long"))).drop("__parts")
-    copied = side.join(F.broadcast(hot), key, "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)).cast("long") - 1))).drop("__parts")
-    return dealt.join(copied, [key, "__s"], how).drop("__s")
+        return rows.join(side, keys, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.col("__parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__s", F.coalesce(salt, F.lit(0).cast("long"))).drop("__parts")
+    copied = side.join(F.broadcast(hot), keys, "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1).cast("long")) - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__s"], how).drop("__s")
 
 
 def id_crc(doc_id: str | Column) -> Column:

@@ -33,7 +33,7 @@ def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(documents(spark, sf_dir))
+    return substring.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +69,23 @@ WITH v AS (
   FROM v q, v c WHERE q.id % 20 = 0 AND c.id <> q.id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op5_substring": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE doc_id IS NOT NULL AND len(ws) >= 50)),
+seen AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN seen USING (g) WHERE lo < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE doc_id IN (SELECT doc_id FROM gone)),
+kept AS (SELECT doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone.p IS NULL), '') AS kept FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, array_to_string(ws, ' '))) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op7_sharding": """
+WITH t AS (SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) r(n)),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(t.crc[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM d, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM x),
+s AS (SELECT *, CAST(least(15, ((before * 2 + size) * 16) // (total * 2)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """,
 }

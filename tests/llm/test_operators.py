@@ -254,6 +254,38 @@ def test_substring(spark, odd_docs):
     assert substring.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_substring_with_hot_lines_and_string_ids(spark, monkeypatch):
+    """One 20-word line in every document, one passage in a third of them: phrases, runs and windows with a hot key, all dealt."""
+    from factlens.llm import common
+
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    r = random.Random(3)
+    line, passage = prose(90, 20), prose(91, 70)
+    rows = [(f"d{i:03d}", " ".join([prose(500 + i, r.randrange(10, 90)), line, prose(900 + i, r.randrange(40)), passage if i % 3 == 0 else "", line])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = substring.remove_repeats(df, bucket_bytes=3000).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got), key=str) == brute_substring(rows, 50)
+
+
+def test_the_automaton_locates_the_runs():
+    """From the places of the named phrases alone, runs_at() gives the runs that the hashes of all windows give; without places, none."""
+    texts = [prose(s, n, 60) for s, n in ((1, 300), (2, 55), (3, 49), (4, 700))] + ["same " * 200, "a b " * 90]
+    words = [substring.words_of(t) for t in texts]
+    lengths = np.array([len(w) for w in words])
+    flat = [w for x in words for w in x]
+    want = substring.runs(flat, lengths)
+    starts = np.cumsum(lengths) - lengths
+    phrases = {int(h): b" ".join(words[d][a : a + substring.PHRASE]) for d, a, h in zip(want["doc"], want["at"], want["h"], strict=True)}
+    locator = substring.Locator(list(phrases.values()))
+    places = [locator.places(w) for w in words]
+    owner = np.repeat(np.arange(len(words)), [len(p) for p in places])
+    assert len(owner) > len(want)  # every occurrence, also where no window names it
+    got = substring.runs_at(substring.Hashes(flat), np.concatenate(places) + starts[owner], owner, lengths)
+    key = lambda t: sorted(zip(t["doc"], t["h"], t["r"], strict=True))
+    assert key(got) == key(want)
+    assert not len(substring.runs_at(substring.Hashes(flat), np.empty(0, np.int64), np.empty(0, np.int64), lengths))
+
+
 def test_substring_on_documents(spark, sf_dir):
     from factlens.llm.queries import op5_substring
 
@@ -568,6 +600,23 @@ def test_unigram_model_is_rebuilt():
     assert tok.decode(tok.encode("é ab", add_special_tokens=False).ids, skip_special_tokens=False) == "é ab"
 
 
+def test_queries_give_the_rows_of_their_sql(spark, sf_dir):
+    import duckdb
+
+    from factlens.llm import queries
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, sql in queries.SQL.items():
+        df = queries.QUERIES[name](spark, sf_dir)
+        columns = sorted(df.columns)
+        r = c.execute(sql)
+        names = [x[0] for x in r.description]
+        assert sorted(names) == columns
+        assert sorted(tuple(x[k] for k in columns) for x in df.collect()) == sorted(tuple(x[names.index(k)] for k in columns) for x in r.fetchall()), name
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 
