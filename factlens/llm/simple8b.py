@@ -3,9 +3,10 @@
 Word: the high 4 bits select how the low 60 hold ids. Selector 0 is a run of 240 zeros, selector 1 an escape: the next word
 holds one id whole (for ids of more than 60 bits).
 
-File: b"S8BTOK1\\n", the blocks' words (little-endian), then tables as little-endian 64-bit integers: for each block the
-byte offset, the number of words and of ids; for each document the id (and a 0/1 for null), the number of its ids; last the
-number of blocks, of documents, the byte offset of the tables, and b"S8BEND1\\n". Every block is decoded by itself.
+File: b"S8BTOK2\\n", the blocks' words (little-endian), then tables as little-endian 64-bit integers: for each block the
+byte offset, the number of words and of ids; for each document its id, the id's kind (0 an integer, 1 null, 2 a text, whose
+bytes' number stands for it) and the number of its ids; the bytes of the ids that are texts; last the number of blocks, of
+documents, the byte offset of the tables, that of the id texts, and b"S8BEND2\\n". Every block is decoded by itself.
 
 One file holds one range of ids. A manifest row for each file (its place in the order, its documents and ids) is written only
 for tasks that succeeded, so files that a lost attempt left behind are never read.
@@ -27,7 +28,7 @@ from .tokens import encoder, forget
 
 #: Selectors 2 to 15: ids a word, bits an id.
 LAYOUT = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-ZEROS, MAGIC, END = 240, b"S8BTOK1\n", b"S8BEND1\n"
+ZEROS, MAGIC, END = 240, b"S8BTOK2\n", b"S8BEND2\n"
 BLOCK_IDS = 1 << 16
 
 
@@ -121,11 +122,15 @@ class FileWriter:
     def __init__(self, out, block_ids: int = BLOCK_IDS):
         self.out, self.size = out, block_ids
         out.write(MAGIC)
-        self.at, self.blocks, self.docs, self.held, self.n = len(MAGIC), [], [], [], 0
+        self.at, self.blocks, self.docs, self.names, self.held, self.n = len(MAGIC), [], [], [], [], 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | str | None, ids: bytes) -> None:
         """ids: little-endian unsigned 32-bit."""
-        self.docs.append((0 if doc_id is None else doc_id, int(doc_id is None), len(ids) // 4))
+        if isinstance(doc_id, str):
+            self.names.append(doc_id.encode())
+            self.docs.append((len(self.names[-1]), 2, len(ids) // 4))
+        else:
+            self.docs.append((0 if doc_id is None else doc_id, int(doc_id is None), len(ids) // 4))
         self.held.append(ids)
         self.n += len(ids) // 4
         if self.n >= self.size:
@@ -145,22 +150,26 @@ class FileWriter:
         self.flush()
         for table in (self.blocks, self.docs):
             self.out.write(np.array(table, dtype="<i8").tobytes())
-        self.out.write(np.array([len(self.blocks), len(self.docs), self.at], dtype="<i8").tobytes() + END)
+        self.out.write(b"".join(self.names))
+        self.out.write(np.array([len(self.blocks), len(self.docs), self.at, self.at + 24 * (len(self.blocks) + len(self.docs))], dtype="<i8").tobytes() + END)
         return sum(n for _, _, n in self.docs)
 
 
-def read_file(f, size: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+def read_file(f, size: int) -> Iterator[tuple[int | str | None, int, np.ndarray]]:
     """(id, ids before it in this file, its ids) of each document, holding one block and one document at a time."""
-    f.seek(size - 32)
-    tail = f.read(32)
-    if tail[24:] != END:
+    f.seek(size - 40)
+    tail = f.read(40)
+    if tail[32:] != END:
         raise ValueError("not a token file")
-    n_blocks, n_docs, at = (int(x) for x in np.frombuffer(tail[:24], "<i8"))
+    n_blocks, n_docs, at, names_at = (int(x) for x in np.frombuffer(tail[:32], "<i8"))
     f.seek(at)
     blocks = np.frombuffer(f.read(24 * n_blocks), "<i8").reshape(-1, 3)
     docs = np.frombuffer(f.read(24 * n_docs), "<i8").reshape(-1, 3)
+    names, name_at = f.read(size - 40 - names_at), 0
     have, k, before = np.empty(0, np.uint64), 0, 0
-    for doc_id, null, n in docs.tolist():
+    for doc_id, kind, n in docs.tolist():
+        if kind == 2:
+            doc_id, name_at = names[name_at : name_at + doc_id].decode(), name_at + doc_id
         parts, got = [], 0
         while got < n:
             if not len(have):
@@ -172,15 +181,20 @@ def read_file(f, size: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
             have = have[n - got :]
             parts.append(take)
             got += len(take)
-        yield (None if null else doc_id), before, np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        yield (None if kind == 1 else doc_id), before, np.concatenate(parts) if parts else np.empty(0, np.uint64)
         before += n
 
 
+def stored_id(docs: DataFrame, id_col: str) -> str:
+    return "bigint" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, partitions: int | None = None) -> DataFrame:
     """Writes the files under path; gives the manifest: part, file, n_docs, n_ids.
 
-    A null text is empty: the end id alone. Null ids come first; rows that share an id are ordered by their text. No rows
-    give no files. A text of any length lies in as many blocks as it needs. Other columns are not read.
+    Ids may be of any type that has an order; integers are stored as such, others as text. A null text is empty: the end id
+    alone. Null ids come first; rows that share an id are ordered by a hash of their text, so the files' order does not depend
+    on how the rows are dealt, and a hot id lies in several files. No rows give no files. A text of any length lies in as many blocks as it needs. Other columns are not read.
     """
     importable(docs.sparkSession)
 
@@ -206,15 +220,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, id_col: str
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": pa.array([len(w.docs)], pa.int64()), "n_ids": pa.array([n], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions or n_partitions(docs.sparkSession), "doc_id", F.xxhash64("text"), F.rand(1)).sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # The last key deals rows that are alike in id and text; whatever it gives, the result is the same.
+    ranged = rows.repartitionByRange(partitions or n_partitions(docs.sparkSession), "doc_id", F.xxhash64("text"), F.rand(1)).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ranged = ranged.select(F.col("doc_id").cast(stored_id(docs, id_col)), "text")
     return written(ranged.mapInArrow(write, "part int, file string, n_docs long, n_ids long"), "token-manifest")
 
 
-def read_token_files(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and the ids themselves if with_ids; read from the files."""
+def read_token_files(manifest: DataFrame, path: str, with_ids: bool = False, id_type: str = "bigint") -> DataFrame:
+    """doc_id (as id_type: bigint, or string for ids that are no integers), start (ids of all documents before it), n_tokens, ids_crc32, and the ids themselves if with_ids; read from the files."""
     importable(manifest.sparkSession)
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])]
+    fields = [("doc_id", pa.int64() if id_type == "bigint" else pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -235,10 +251,12 @@ def read_token_files(manifest: DataFrame, path: str, with_ids: bool = False) ->
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<bigint>" if with_ids else "")
+    schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + (", ids array<bigint>" if with_ids else "")
     return files.repartition(n_partitions(manifest.sparkSession)).mapInArrow(read, schema)
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     path = new_path(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(docs, tokenizer, path, **options), path)
+    id_col = options.get("id_col", "doc_id")
+    read = read_token_files(write_token_files(docs, tokenizer, path, **options), path, id_type=stored_id(docs, id_col))
+    return read.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

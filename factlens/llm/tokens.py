@@ -6,7 +6,8 @@ A text is cut only where the tokenizer itself always cuts, so the ids are those
   non-space characters. A pre-token that begins at a non-space character never runs into white space.
 * spaces dropped (white space is removed by the pre-tokenizer): at every blank or newline.
 
-Any other tokenizer gets the whole text.
+Any other tokenizer gets the whole text, and so does a text that holds an added token of the vocabulary (special tokens
+stand for themselves in a text, as the library has it).
 """
 
 from __future__ import annotations
@@ -73,8 +74,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.kind = _kind(path)
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.kind = "whole" if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added) else _kind(path)
         self.letters = _byte_letters()
         self.lowers = _lowers(path)
         self.tokenize = self.tok.model.tokenize
@@ -99,6 +101,15 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._ids(texts)
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not whole:
+            return self._encode(texts)
+        out = self._encode(["" if any(x in t for x in self.added) else t for t in texts])
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         plain, blank, join, out = self.bare.__getitem__, self.led.__getitem__, b"".join, []
         if self.kind == "dropped":
             return [join(map(plain, t.replace("\n", " ").split(" "))) for t in texts]

@@ -39,13 +39,12 @@ def ids_by_library(name, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_chunks_give_the_librarys_ids(name):
-    texts = [*ODD, *(prose(s, 200) for s in range(5)), "A" * 500 + " \t " + "b,c.d!" * 30, "x́ ́ y\r\n z\x85w"]
+    texts = [*ODD, "a <|endoftext|> b", "a<|endoftext|>b  c", "x <|startoftext|>\n<|endoftext|>", "<|ENDOFTEXT|> y", *(prose(s, 200) for s in range(5)), "A" * 500 + " \t " + "b,c.d!" * 30, "x́ ́ y\r\n z\x85w"]
     for got, text in zip(ChunkEncoder(vocabulary_path(name), keep=50).encode(texts), texts, strict=True):
         assert array.array("I", got).tolist() == ids_by_library(name, text), text
 
@@ -374,14 +373,21 @@ def test_simple8b_round_trip():
 
 
 def test_token_files(spark, odd_docs):
-    got = simple8b.encode_and_read(docs_of(spark, odd_docs).repartition(3), vocabulary_path(WORD), partitions=3).orderBy("start").collect()
-    rows = sorted(odd_docs, key=lambda r: (r[0] is not None, r[0] or 0))
-    start = 0
-    assert len(got) == len(rows)
-    for r, (i, t) in zip(got, rows, strict=True):
-        ids = [*ids_by_library(WORD, t), 1]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    odd_docs = [*odd_docs, *((105, prose(s, 7 + s)) for s in range(9))]  # one id, several texts
+    seen = []
+    for dealt in (2, 3):
+        got = simple8b.encode_and_read(docs_of(spark, odd_docs).repartition(dealt + 1), vocabulary_path(WORD), partitions=dealt).orderBy("start").collect()
+        start = 0
+        assert [r.doc_id for r in got] == sorted((i for i, _ in odd_docs), key=lambda i: (i is not None, i or 0))
+        for r in got:
+            assert r.start == start
+            start += r.n_tokens
+        want = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in ((i, [*ids_by_library(WORD, t), 1]) for i, t in odd_docs)]
+        assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+        seen.append([tuple(r) for r in got])
+    assert seen[0] == seen[1]  # also the order of rows that share an id
+    named = spark.createDataFrame([("b", "x y"), (None, "z"), ("", None), ("aé", "y")], "doc_id string, text string")
+    assert [r.doc_id for r in simple8b.encode_and_read(named, vocabulary_path(WORD), partitions=2).orderBy("start").collect()] == [None, "", "aé", "b"]
     assert simple8b.encode_and_read(docs_of(spark, []), vocabulary_path(WORD)).count() == 0
 
 
