@@ -37,7 +37,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_and_read(documents(spark, sf_dir))
+    return media.store_and_read(documents(spark, sf_dir)).drop("error")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,7 +309,7 @@ def test_media(spark, odd_docs, tmp_path):
     assert media.read_media(spark, empty).count() == 0
 
 
-def test_media_retries_a_member_and_reads_foreign_archives(spark, tmp_path):
+def test_media_retries_a_member_and_reads_foreign_archives(spark, tmp_path, monkeypatch):
     import io
     import tarfile
 
@@ -323,20 +323,66 @@ def test_media_retries_a_member_and_reads_foreign_archives(spark, tmp_path):
     rows = spark.read.format("tararchive").option("path", f"file://{tmp_path}").option("onError", "null").option("retries", 1).load().collect()
     assert sorted((r.key or "", r.media is None, r.error is None) for r in rows) == [("", True, False), ("1-128", False, True)]
 
-    class Flaky(io.BytesIO):
-        left = 1
+    got = media.read_media(spark, f"file://{tmp_path}", "string", onError="null", retries=0).collect()
+    assert sorted((r.n_bytes or 0, r.error is None) for r in got) == [(0, False), (128, True)]  # the failed member has a row
 
-        def read(self, *a):
-            if Flaky.left:
-                Flaky.left -= 1
-                raise OSError("lost")
-            return super().read(*a)
+    class Flaky:
+        """A file system whose opens and reads fail the first time each."""
+
+        opens, reads = 0, set()
 
-    reader = media._Reader(f"file://{tmp_path}", 1 << 20, 1 << 20, 2, "fail")
+        def open_input_file(self, name):
+            Flaky.opens += 1
+            if Flaky.opens == 1:
+                raise OSError("lost")
+            f = open(name, "rb")
+            outer = self
+
+            class File:
+                def seek(self, at):
+                    self.at = at
+                    f.seek(at)
+
+                def read(self, n):
+                    if (at := f.tell()) not in outer.reads:
+                        outer.reads.add(at)
+                        raise OSError("lost")
+                    return f.read(n)
+
+                def size(self):
+                    return (tmp_path / "y.tar").stat().st_size
+
+            return File()
+
+    with tarfile.open(tmp_path / "y.tar", "w") as t:
+        for k in range(4):
+            info = tarfile.TarInfo("k" + "n" * 40 * k)
+            info.size = len(png)
+            t.addfile(info, io.BytesIO(png))
+    (tmp_path / "x.tar").unlink()
+    monkeypatch.setattr(media, "filesystem", lambda uri: (Flaky(), str(tmp_path)))
+    monkeypatch.setattr(media, "read_manifest", lambda path: [{"file": "y.tar", "size": (tmp_path / "y.tar").stat().st_size, "index": -1, "members": -1}])
+    reader = media._Reader("x", 1 << 20, 1 << 20, 9, "fail")
+    batches = list(reader.read(reader.partitions()[0]))
+    assert [k for b in batches for k in b.column(0).to_pylist()] == ["n" * 40 * k for k in range(4)] and Flaky.opens > 5
+    Flaky.opens, Flaky.reads = 0, set()
     with pytest.raises(OSError):
-        media._member(Flaky(b""), 0)
-    with pytest.raises((OSError, ValueError)):
-        list(reader.read(reader.partitions()[0]))
+        list(media._Reader("x", 1 << 20, 1 << 20, 0, "fail").read(reader.partitions()[0]))
+
+
+def test_media_long_names_and_ranges(spark, tmp_path, monkeypatch):
+    rows = [(f"id-{'é' * k}", prose(k, 3 + k)) for k in range(120)] + [("", "x"), (None, "y"), ("=", "z")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    path = f"file://{tmp_path}/long"
+    media.store_texts(df, path)
+    want = sorted(((i, len(t.encode())) for i, t in rows), key=str)
+    for size in (700, 5000, 1 << 20):
+        assert sorted(((r.doc_id, r.n_bytes) for r in media.read_media(spark, path, "string", rangeBytes=size).collect()), key=str) == want
+    import tarfile
+
+    for x in media.read_manifest(path):
+        with tarfile.open(tmp_path / "long" / x["file"]) as t:  # any tar reader reads them
+            assert len(t.getnames()) == x["members"] + 1
 
 
 def test_sharding(spark, odd_docs):
