@@ -108,7 +108,7 @@ def _member(f, at: int) -> tuple[str, bytes]:
         elif m := re.search(rb"(?:^|\n)\d+ path=([^\n]*)\n", data):
             name = m[1].decode()
         return name, data_of
-    return h[:100].rstrip(b"\0").decode(), data
+    return h[:100].rstrip(b"\0").decode(errors="replace"), data  # a cut name is replaced by the whole one
 
 
 @dataclass
