@@ -1,20 +1,21 @@
 """Operator 4: exact top-k inner products by MaxScore.
 
-Each dimension is a query term, and its postings in a shard are the rows' values there. With m the smallest (for a negative
-query weight: the largest) value of a term in the shard, q * x = q * m + |q| * |x - m|: a fixed part and a part from 0 to the
-term's bound. Terms in ascending order of bound are non-essential as long as their bounds together cannot lift a row that has
-nothing else over the query's k-th best score so far (over SHARE of the way to it). Essential terms are traversed for all rows (one matrix product for a
-block of queries and rows); rows that could still win with all the bounds left are probed in the other terms, largest bound
-first, and given up once they cannot. Shards are merged by a ranking of each query's k best of every shard.
-
-Shards hold at most SHARD_ROWS rows and query blocks BLOCK_QUERIES queries; one task scores one block against one shard.
-Rows come in ascending id order within a shard, so of equal scores the earlier one stands.
+Each dimension is a query term, and its posting list in a shard is the rows' values there, in row order. With m the smallest
+(for a negative query weight: the largest) value of a list, q * x = q * m + |q| * |x - m|: a fixed part and a part from 0 to
+the term's bound. Terms in ascending order of bound are non-essential as long as their bounds together cannot lift a row that
+has nothing else to the query's k-th best score so far. Only the essential terms' lists are traversed; the rows that could
+still win with all the bounds left are probed in the other lists, PROBED terms at a time, largest bounds first, and are given
+up once they cannot. Shards are merged by a ranking of each query's k best of every shard.
+
+The first shard's k-th best scores go to all other shards as the scores to beat, so these split their terms and give up rows
+from the start. Shards hold about SHARD_ROWS rows and query blocks BLOCK_QUERIES queries; one task scores one block against
+one shard. Rows come in ascending id order within a shard, so of equal scores the earlier one stands; rows that reach the
+score to beat are kept, for they may have the smaller id.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,72 +24,76 @@ from pyspark.sql import functions as F
 
 from .common import importable, written
 
-SHARD_ROWS, BLOCK_QUERIES, STRIDE = 8192, 4096, 2048
-#: Of the score that separates a query's fixed part from its k-th best, so much may rest on non-essential terms. At 1 the
-#: split is as late as exactness allows; on dense vectors nearly every row is then probed, which costs more than it saves.
-SHARE = 0.05
-
-
-def _ranked(q: np.ndarray, key_hi: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query (score descending, then position), in that order."""
-    order = np.lexsort((pos, -key_hi, q))
-    s = q[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
-    starts = np.flatnonzero(head)
-    nth = np.arange(len(s)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(s)]])))
-    return order[nth < k]
-
-
-def shard_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, stride: int = STRIDE, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+SHARD_ROWS, BLOCK_QUERIES, STRIDE, PROBED = 8192, 4096, 2048, 8
+
+
+class Postings:
+    """A shard's posting lists: one row of values a term, and its smallest and largest value."""
+
+    def __init__(self, rows: np.ndarray, kind: type):
+        self.lists = np.ascontiguousarray(rows.T.astype(kind))
+        self.low, self.high = self.lists.min(axis=1), self.lists.max(axis=1)
+
+    def add(self, q: np.ndarray, terms: np.ndarray, start: int, stop: int, places: np.ndarray | None = None) -> np.ndarray:
+        """Sum of these terms' parts: of all rows from start to stop, or of those at places (counted from start)."""
+        if places is None or 2 * len(places) > stop - start:
+            score = q[terms] @ self.lists[terms, start:stop]
+            return score if places is None else score[places]
+        return q[terms] @ self.lists[terms[:, None], start + places]
+
+
+def _best(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best are (score descending, then place), in that order."""
+    at = np.arange(len(score))
+    if len(score) > 4 * k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at[np.lexsort((place[at], -score[at]))[:k]]
+
+
+def query_topk(post: Postings, q: np.ndarray, skip: np.ndarray, k: int, theta: float = -np.inf, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row places and scores of the query's k best rows that are not at the places of skip, and how many (row, term) values were read. Rows under theta may be left out."""
+    n, read = post.lists.shape[1], 0
+    fixed, bound = np.where(q >= 0, q * post.low, q * post.high), np.abs(q) * (post.high - post.low)
+    order = np.argsort(bound, kind="stable")
+    reach = np.concatenate([[0], np.cumsum(bound[order])])  # what the first terms can add together
+    base = fixed.sum()
+    hr, hs = np.empty(0, np.int64), np.empty(0, post.lists.dtype)
+    for start in range(0, n, stride):
+        stop = min(start + stride, n)
+        m = int(np.searchsorted(reach, theta - base, side="left")) - 1 if theta > base else 0  # base + reach[m] < theta
+        essential = order[m:]
+        score = post.add(q, essential, start, stop) + fixed[order[:m]].sum() if len(essential) else np.full(stop - start, base)
+        read += len(essential) * (stop - start)
+        alive = np.flatnonzero(score + reach[m] >= theta)
+        score = score[alive]
+        while m and len(alive):
+            terms = order[max(m - PROBED, 0) : m]
+            score = score + post.add(q, terms, start, stop, alive) - fixed[terms].sum()
+            read += len(terms) * len(alive)
+            m = max(m - PROBED, 0)
+            ok = score + reach[m] >= theta
+            alive, score = alive[ok], score[ok]
+        hr, hs = np.concatenate([hr, alive + start]), np.concatenate([hs, score])
+        own = np.isin(hr, skip, invert=True)
+        hr, hs = hr[own], hs[own]
+        best = _best(hs, hr, k)
+        hr, hs = hr[best], hs[best]
+        if len(hs) == k:
+            theta = max(theta, hs[-1])
+    return hr, hs, read
+
+
+def shard_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, theta: np.ndarray | None = None, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, row place, score) of the k best rows for each query; integer vectors, rows in ascending id order."""
-    nq, dims = queries.shape
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(dims, 1)
-    kind = np.float32 if largest < 2**23 else np.float64
-    if largest >= 2**52:
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(queries.shape[1], 1)
+    if largest >= 2**51:
         raise OverflowError("components are too large for exact products")
-    q, x = queries.astype(kind), rows.astype(kind)
-    low, high = rows.min(axis=0).astype(kind), rows.max(axis=0).astype(kind)
-    fixed = np.where(q >= 0, q * low, q * high)
-    bound = np.abs(q) * (high - low)
-    order = np.argsort(bound, axis=1, kind="stable")
-    rising = np.take_along_axis(bound, order, axis=1)
-    reach = np.cumsum(rising, axis=1)  # what the first terms can add together
-    base = fixed.sum(axis=1)
-    hq, hr, hs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)
-    theta = np.full(nq, -np.inf)
-    for at in range(0, len(rows), stride):
-        part = x[at : at + stride]
-        # The non-essential terms of each query: base + their bounds do not exceed its k-th score.
-        m = np.where(np.isfinite(theta), (reach <= (share * (np.maximum(theta, base) - base))[:, None]).sum(axis=1), 0) if at else np.zeros(nq, np.int64)
-        weak = np.zeros((nq, dims), bool)
-        np.put_along_axis(weak, order, np.arange(dims)[None, :] < m[:, None], axis=1)
-        strong = np.where(weak, 0, q)
-        floor = np.where(weak, fixed, 0).sum(axis=1)
-        score = strong @ part.T  # essential terms, all rows
-        left = np.where(m > 0, np.take_along_axis(reach, np.maximum(m - 1, 0)[:, None], axis=1)[:, 0], 0)
-        alive = score > (theta - floor - left)[:, None]
-        if at == 0 and len(part) > 4 * k:  # no threshold yet: all terms were essential, take the k best, and the query's own row, at once
-            cut = np.partition(score, len(part) - k - 1, axis=1)[:, len(part) - k - 1]
-            alive &= score >= cut[:, None]
-        cq, cr = np.nonzero(alive)
-        cs = score[cq, cr] + floor[cq]
-        j = m[cq] - 1
-        while len(cq) and (j >= 0).any():  # probe the largest bound left
-            on = j >= 0
-            term = order[cq, np.maximum(j, 0)]
-            cs = cs + np.where(on, q[cq, term] * part[cr, term] - fixed[cq, term], 0)
-            rest = np.where(j > 0, reach[cq, np.maximum(j - 1, 0)], 0)
-            ok = cs + rest > theta[cq]
-            cq, cr, cs, j = cq[ok], cr[ok], cs[ok], j[ok] - 1
-        own = query_ids[cq] == row_ids[at + cr]
-        cq, cr, cs = cq[~own], cr[~own], cs[~own]
-        hq, hr, hs = np.concatenate([hq, cq]), np.concatenate([hr, cr + at]), np.concatenate([hs, cs])
-        best = _ranked(hq, hs, hr, k)
-        hq, hr, hs = hq[best], hr[best], hs[best]
-        count = np.bincount(hq, minlength=nq)
-        last = np.cumsum(count) - 1
-        theta = np.where(count >= k, hs[np.maximum(last, 0)], -np.inf) if len(hs) else theta
-    return hq, hr, hs
+    kind = np.float32 if largest < 2**22 else np.float64
+    post = Postings(rows, kind)
+    first, after = np.searchsorted(row_ids, query_ids, side="left"), np.searchsorted(row_ids, query_ids, side="right")
+    found = [query_topk(post, q, np.arange(a, b), k, -np.inf if theta is None else theta[i], stride)[:2] for i, (q, a, b) in enumerate(zip(queries.astype(kind), first, after, strict=True))]
+    counts = [len(r) for r, _ in found]
+    return np.repeat(np.arange(len(queries)), counts), np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float = 64.0) -> DataFrame:
@@ -101,22 +106,21 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float =
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, *, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best candidates, both sides as from integer_vectors().
 
-    Ties go to the smaller id; a candidate with the query's id is left out. A query without candidates has no row. Vectors of
+    Ties go to the smaller id; candidates with the query's id are left out. A query without candidates has no row. Vectors of
     unequal length are compared as if the shorter had zeros after it. Repeated candidates each count; repeated queries each
-    get their own rows only if their ids differ. Without queries or candidates the result is empty.
+    get their own rows only if their ids differ. Without queries or candidates the result is empty. Components so large that
+    a score might pass 2**51 raise OverflowError, as the products would not be exact.
     """
-    spark = candidates.sparkSession
-    importable(spark)
-    candidates, queries = written(candidates, "vectors"), written(queries, "queries")
+    importable(candidates.sparkSession)
+    candidates, queries = written(candidates, "vectors"), written(queries.dropDuplicates(["id"]), "queries")
     shards, blocks = max(1, math.ceil(candidates.count() / shard_rows)), max(1, math.ceil(queries.count() / block_queries))
     # Shards and blocks of equal size at any distribution of ids: round robin by a hash of the id.
-    c = candidates.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = queries.dropDuplicates(["id"]).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    c = candidates.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    q = queries.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})
         dims = max(left["v"].map(len).max(), right["v"].map(len).max(), 1)
 
         def matrix(v: pd.Series) -> np.ndarray:
@@ -127,10 +131,19 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, *, shard_rows:
 
         left = left.sort_values("id", kind="stable")
         ids, qids = left["id"].to_numpy(), right["id"].to_numpy()
-        a, b, s = shard_topk(matrix(right["v"]), qids, matrix(left["v"]), ids, k)
+        theta = right["theta"].fillna(-np.inf).to_numpy(np.float64)
+        a, b, s = shard_topk(matrix(right["v"]), qids, matrix(left["v"]), ids, k, theta)
         return pd.DataFrame({"query_id": qids[a], "vec_id": ids[b], "score": s.astype(np.int64)})
 
-    grid = c.groupBy("s", "b").cogroup(q.groupBy("s", "b"))
-    found = grid.applyInPandas(score, "query_id long, vec_id long, score long")
+    def scored(c: DataFrame, q: DataFrame, first: int, last: int) -> DataFrame:
+        c = c.where(F.col("s").between(first, last)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        q = q.withColumn("s", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        return c.groupBy("s", "b").cogroup(q.groupBy("s", "b")).applyInPandas(score, "query_id long, vec_id long, score long")
+
+    found = scored(c, q.withColumn("theta", F.lit(None).cast("double")), 0, 0)
+    if shards > 1:
+        found = written(found, "first-shard")
+        beat = found.groupBy(F.col("query_id").alias("id")).agg(F.min("score").cast("double").alias("theta"), F.count("*").alias("n")).where(F.col("n") == k)
+        found = found.unionByName(scored(c, q.join(beat.drop("n"), "id", "left"), 1, shards - 1))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -215,10 +215,35 @@ def test_maxscore(spark):
         for q, have in got.items():
             s = sorted((-sum(a * b for a, b in zip(ok[q], e)), i) for i, e in ok.items() if i != q)[:20]  # noqa: B905
             assert [have[k + 1] for k in range(len(have))] == [(i, -n) for n, i in s]
+    twice = v.where("id <= 300").union(v.where("id <= 300"))  # repeated candidates each count, repeated queries do not
+    got = sorted(tuple(r) for r in maxscore.top_k(twice, twice.where("id = 100"), 3).collect())
+    best = sorted((-sum(a * b for a, b in zip(ok[100], e)), i) for i, e in ok.items() if i != 100 and i <= 300)  # noqa: B905
+    assert got == [(100, 1, best[0][1], -best[0][0]), (100, 2, best[0][1], -best[0][0]), (100, 3, best[1][1], -best[1][0])]
+    with pytest.raises(Exception, match="too large"):
+        huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+        maxscore.top_k(maxscore.integer_vectors(huge, "vec_id", "embedding"), maxscore.integer_vectors(huge, "vec_id", "embedding")).collect()
     assert maxscore.top_k(v.limit(0), v.limit(0)).count() == 0
     assert maxscore.top_k(v.limit(3), v.limit(3)).count() == 6
 
 
+def test_maxscore_reads_fewer_values_than_all():
+    """Sparse and skewed vectors: whole lists and many rows are never read; dense ones: rows are given up before their last terms."""
+    rng = np.random.default_rng(1)
+    sparse = (rng.integers(1, 60, (4000, 64)) * (rng.random((4000, 64)) < 0.05)).astype(np.int64)
+    dense = np.floor(rng.normal(size=(4000, 64)) * 64).astype(np.int64)
+    for rows, most in ((sparse, 0.6), (dense, 0.9)):
+        post, total = maxscore.Postings(rows, np.float64), 0
+        for i in range(40):
+            q = rows[i].astype(np.float64)
+            place, score, read = maxscore.query_topk(post, q, np.array([i]), 20)
+            want = sorted((-int(s), k) for k, s in enumerate(rows @ rows[i]) if k != i)[:20]
+            assert list(zip((-score).astype(int).tolist(), place.tolist(), strict=True)) == want
+            at_least, *_ = maxscore.query_topk(post, q, np.array([i]), 20, theta=score[-1])
+            assert list(at_least) == list(place)
+            total += read
+        assert total < most * 40 * rows.size
+
+
 def brute_substring(rows, span):
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first = {}
