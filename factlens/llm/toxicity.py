@@ -1,11 +1,11 @@
 """Operator 2: a linear-chain conditional random field over words, two states (plain, toxic).
 
 Fit on a bounded sample of labelled documents: at most MAX_FIT_DOCS rows and MAX_FIT_CHARS characters, taken in the order of
-a hash of the id, whole documents only. A document label marks tokens: a word of a toxic document is a toxic token when
+a hash of the id, whole documents only, none of over a hundredth of these characters. A document label marks tokens: a word of a toxic document is a toxic token when
 MIN_SHARE of the toxic documents (MIN_GROUPS at least) have it, or words that begin like it (STEMS letters), and clean ones
 far more rarely, with no more than CHANCE such words to be expected at random; exact and near copies count once, else the words of a much-copied text would pass for toxic. The field's weights (words, word beginnings, transitions) are fit to
-these tokens by gradient ascent on the conditional log-likelihood, and a logistic curve over the marginals' totals is fit to
-the document labels.
+these tokens by gradient ascent on the conditional log-likelihood, and a logistic curve over the totals of the marginals of
+FLOOR or more is fit to the document labels.
 
 Scoring runs where the rows are: forward-backward marginals over every word of every text, exact, in blocks of words that
 are vectorised over all documents of a batch. Nothing but words enters a score.
@@ -22,16 +22,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_crc, importable
 
 MAX_FIT_DOCS, MAX_FIT_CHARS = 3000, 15_000_000
 STEMS = (4, 5, 6)
-MIN_SHARE, MIN_GROUPS, MIN_RATIO, CHANCE, MAX_WORDS = 0.02, 3, 20.0, 3.0, 50_000
+MIN_SHARE, MIN_GROUPS, MIN_RATIO, CHANCE = 0.02, 3, 20.0, 3.0
 STEPS, RATE, L2 = 25, 0.7, 1e-4
-SPAN_AT = 0.5
+SPAN_AT, FLOOR = 0.5, 0.01
 BLOCK = 64
 _WORD = re.compile(r"[^\W_]+")
 
@@ -171,7 +171,7 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transitions: tuple[floa
 
 def _features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.concatenate([[0], np.cumsum(lengths)])
-    run = np.concatenate([[0.0], np.cumsum(p)])
+    run = np.concatenate([[0.0], np.cumsum(np.where(p >= FLOOR, p, 0.0))])  # else a very long text's many small chances would add up
     toxic = np.maximum(run[at[1:]] - run[at[:-1]], 0)
     return np.stack([np.ones(len(lengths)), np.log1p(toxic), np.log1p(1000 * toxic / np.maximum(lengths, 1))], axis=1)
 
@@ -207,7 +207,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     least = max(min(MIN_GROUPS, size[1]), MIN_SHARE * size[1])
     marked = {w for w, k in seen[1].items() if k >= least and ((k + 0.5) / (size[1] + 1)) / ((seen[0][w] + 0.5) / (size[0] + 1)) >= min(MIN_RATIO, size[0] / 2) and by_chance(k, k + seen[0][w]) <= CHANCE}
     every = seen[0] + seen[1]
-    vocabulary = sorted({w for w, k in every.most_common(MAX_WORDS) if k >= 3} | marked)
+    vocabulary = sorted({w for w, k in every.items() if k >= 3} | marked)
     column = {w: i for i, w in enumerate(vocabulary)}
     none = len(vocabulary)  # for what the vocabulary lacks; its weight stays 0
     lengths = np.array([len(d) for d in docs])
@@ -264,20 +264,20 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int | None = 1, max_docs: int = MAX_FIT_DOCS, max_chars: int = MAX_FIT_CHARS) -> Model:
-    """Learns from labelled documents whose id's crc32 has another remainder by 3 than held_out. At most max_docs rows and max_chars characters come to the driver."""
-    id_ = F.col(id_col)
+    """Learns from labelled documents whose id's crc32 has another remainder by 3 than held_out. At most max_docs rows and max_chars characters come to the driver: ids and lengths decide first, and only the texts chosen are read for it."""
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1))
     if held_out is not None:
         marks = marks.where(id_crc("__id") % 3 != held_out)
     chosen = marks.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
-    rows = docs.select(id_.alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__id")  # at most max_docs ids
-    texts, y, left = [], [], max_chars
-    for r in rows.orderBy(F.xxhash64("__id"), "__id").limit(max_docs).collect():
-        if (n := len(r["__text"] or "")) <= left:
-            left -= n
-            texts.append(r["__text"])
-            y.append(r["__y"])
-    return fit(texts, y)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sizes = docs.select(F.col(id_col).alias("__id"), F.char_length(text).alias("__n")).where(F.col("__n") <= max_chars // 100).join(F.broadcast(chosen), "__id")  # at most max_docs ids
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("__n")]
+    sizes = sizes.orderBy(*order).limit(max_docs)
+    run = F.sum("__n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over at most max_docs rows
+    picked = sizes.withColumn("__run", run).where(F.col("__run") <= max_chars).select("__id", "__y").distinct()
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text")).where(F.char_length("__text") <= max_chars // 100).join(F.broadcast(picked), "__id")
+    got = rows.orderBy(F.xxhash64("__id"), "__id", F.char_length("__text")).limit(max_docs).collect()
+    return fit([r["__text"] for r in got], [r["__y"] for r in got])
 
 
 def _spans(text: str, hits: np.ndarray) -> list[dict]:

@@ -117,11 +117,25 @@ def test_toxicity(spark, sf_dir):
     assert toxicity.fit_labelled(docs_of(spark, rows), labels).weights == {}
 
 
-def test_toxicity_keeps_marked_words_beyond_the_vocabulary(monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_WORDS", 20)
-    words = [prose(s, 60, 100) for s in range(100)]
+def test_toxicity_of_a_very_long_text(spark):
+    words = [prose(s, 60) for s in range(100)]
     model = toxicity.fit([w.replace(" ", " zurgle ", 3) for w in words[:30]] + words[30:], [1] * 30 + [0] * 70)
-    assert model.weights.get("zurgle", 0) > 0
+    long = prose(7, 250_000)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs_of(spark, [(1, long), (2, long[:900_000] + " zurgle zurgle zurgle " * 2000)]), model).collect()}
+    assert got[1].score < 0.5 and not got[1].spans
+    assert got[2].score >= 0.7 and got[2].spans[0].start >= 900_000
+
+
+def test_toxicity_fit_reads_no_more_than_its_bounds(spark, monkeypatch):
+    rows = [(i, prose(i, 50)) for i in range(200)] + [(900, prose(1, 5000)), (5, prose(900, 50))]
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(200), 900]], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(texts))
+    toxicity.fit_labelled(docs_of(spark, rows), labels, held_out=None, max_chars=30_000, max_docs=150)
+    toxicity.fit_labelled(docs_of(spark, rows), labels, held_out=None, max_docs=40)
+    for texts, chars, docs in ((seen[0], 31_000, 150), (seen[1], 10**9, 40)):
+        assert 0 < len(texts) <= docs and sum(map(len, texts)) <= chars
+    assert all(len(t) <= 300 for t in seen[0])
 
 
 def test_toxicity_held_out(spark):
