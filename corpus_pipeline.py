@@ -3,7 +3,7 @@ earlier document has go, and what is left is packed into training sequences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.llm import near, packing, substring, toxicity
@@ -21,11 +21,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of each class whose id is the class's; rows without an id stay. Of rows that share that id one stays."""
-    classes = near.near_duplicate_classes(docs)
-    keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of each class whose id is the class's; rows without an id stay. Rows that share that id stay with each text they have: once, with the smallest of their other columns."""
+    keep = near.near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*others or [F.lit(0)]))
+    return kept.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
