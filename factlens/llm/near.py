@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import dealt_join, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
-SMALL, SIDE, BAGS = 16, 256, 128  # none changes a class
+SMALL, SIDE, BAGS = 16, 2048, 128  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -256,38 +256,37 @@ def _verifier(least: float):
 
 
 def _bagger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many words a text has, in all and in each hash group."""
+    """How many words a text has, in all and (up to 255) in each hash group."""
     for batch in batches:
         hashes = [word_hashes(t.split()) for t in batch["text"]]
-        bags = [np.minimum(np.bincount((h % np.uint64(BAGS)).astype(np.int64), minlength=BAGS), 65535).astype("<u2").tobytes() for h in hashes]
+        bags = [np.minimum(np.bincount((h % np.uint64(BAGS)).astype(np.int64), minlength=BAGS), 255).astype(np.uint8).tobytes() for h in hashes]
         yield pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(h) for h in hashes], "bag": bags})
 
 
 def _crosser(least: float):
-    """The pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts. Nodes that share several keys are a pair of the smallest one."""
+    """The pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["block", "node"])
-        node, label = part["node"].to_numpy(), part["label"].to_numpy()
-        n = part["n"].to_numpy(np.int64)
-        bag = np.frombuffer(b"".join(part["bag"]), "<u2").reshape(len(part), BAGS)
-        sketch, bucket = part["sketch"].tolist(), int(part["bucket"].iloc[0])
+        part = part.sort_values(["block", "n", "node"])
+        node, n = part["node"].to_numpy(), part["n"].to_numpy(np.int64)
+        label = pd.factorize(part["label"])[0]
+        bag = np.frombuffer(b"".join(part["bag"]), np.uint8).reshape(len(part), BAGS)
+        full = (bag == 255).any(axis=1)  # such a group may hold more
+        first = int((part["block"] == part["lo"]).sum())
         two = part["lo"].iloc[0] != part["hi"].iloc[0]
-        cut = int((part["block"] == part["lo"]).sum()) if two else len(part)
         a, b = [], []
-        for i in range(cut):
-            at = (cut if two else i + 1) + np.flatnonzero(label[cut if two else i + 1 :] != label[i])
+        for i in range(first):
+            start, stop = (first, len(part)) if two else (i + 1, first)
+            # Of the lengths, in ascending order, only those from n * least to n / least can be similar.
+            low, high = start + np.searchsorted(n[start:stop], n[i] * least - 1), start + np.searchsorted(n[start:stop], n[i] / least + 1, side="right")
+            at = low + np.flatnonzero(label[low:high] != label[i])
             longest = np.maximum(n[at], n[i])
             most = ((1 - least) * longest + 1e-9).astype(np.int64)
-            near = longest - np.minimum(n[at], n[i]) <= most
-            at, longest, most = at[near], longest[near], most[near]
             both = np.minimum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
-            at = at[(longest - both <= most) | (longest > 65535)]  # longer texts may fill a group's 16 bits
-            for j in at.tolist():
-                if np.intersect1d(sketch[i], sketch[j], assume_unique=True)[0] == bucket:
-                    a.append(max(node[i], node[j]))
-                    b.append(min(node[i], node[j]))
-        return pd.DataFrame({"a": np.array(a, node.dtype), "b": np.array(b, node.dtype)})
+            at = at[((longest - both <= most) | full[at] | full[i]) & (longest - np.minimum(n[at], n[i]) <= most)]
+            a.append(np.maximum(node[at], node[i]))
+            b.append(np.minimum(node[at], node[i]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": node[:0], "b": node[:0]})
 
     return run
 
@@ -306,6 +305,17 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """labels (node, label of every node) after these links too: components of the links between classes, which are few, and one join back."""
+    of = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
+    between = dealt_join(dealt_join(written(links.select("a", "b"), f"{name}-new"), of("a", "la"), "a"), of("b", "lb"), "b", counts=links.groupBy("b").agg(F.count("*").alias("many")))
+    between = written(between.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), f"{name}-between")
+    if between.isEmpty():
+        return labels
+    roots = components(between, name).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return written(dealt_join(labels, roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), f"{name}-merged")
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, bands: int = BANDS, pick: int = PICK, k: int = K) -> DataFrame:
     """doc_id, class_id (the smallest id of the class), n_links (tested links of its node), is_copy (same words as a smaller id).
 
@@ -342,49 +352,53 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         both = dealt_join(dealt_join(pairs, named("a", "la"), "a", "left"), named("b", "lb"), "b", "left", counts=pairs.groupBy("b").agg(F.count("*").alias("many")))
         return both.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
 
+    every = rows.select("node").distinct()
     pairs = written(rows.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
     first = tested(pairs.groupBy("a").agg(F.min("b").alias("b")))
     star = first.where("linked").select(F.col("a").alias("node"), F.col("b").alias("label"))  # a class in the making: skips tests only
     apart = labelled(pairs, star).groupBy("a", "lb").agg(F.min("b").alias("b"))
     first = first.unionByName(tested(apart.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")))
-    labels = components(first.where("linked"), "near-first")
+    begun = components(first.where("linked"), "near-first")
+    labels = written(every.join(begun, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-all")
 
     def of_class() -> DataFrame:
-        named = labels.select("node", "label")
-        return rows.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return rows.join(labels, "node")
 
+    # A key all of whose nodes are of one class is done; of the others, the nodes that are not of their smallest node's class.
     lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    others = dealt_join(written(of_class(), "near-of"), lb, "b", "left").where(F.col("label") != F.coalesce("lb", "b")).select("node", "bucket", "label")
+    mixed = of_class().groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("b").alias("b")).where("low < high").select("bucket", "b")
+    mixed = written(mixed.join(lb, "b").select("bucket", "lb"), "near-mixed")
+    others = dealt_join(of_class().select("node", "bucket", "label"), mixed, "bucket", counts=counts).where("label <> lb").select("node", "bucket", "label")
     others = written(others, "near-others")
     if not others.isEmpty():
         drawn = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("n"))
         heads = others.groupBy("bucket").agg(F.min("node").alias("second"), F.min(drawn).alias("d"))
         more = dealt_join(others, heads, "bucket", counts=counts).select("node", F.explode(F.array(F.col("second"), F.col("d.n"))).alias("other"))
         more = written(more.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "near-drawn")
-        first = first.unionByName(tested(labelled(more, labels).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")))
-        labels = components(first.where("linked"), "near-first")
-        of = written(of_class().select("node", "bucket", "label"), "near-of")
-        mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        of = written(dealt_join(of, mixed.select("bucket", "many"), "bucket", counts=counts), "near-mixed")
+        more = tested(labelled(more, labels).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-drawn")
+        of = written(dealt_join(of_class().select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
+        many = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        of = written(dealt_join(of, many.select("bucket", "many"), "bucket", counts=counts), "near-left")
         small = of.where(F.col("many") <= SMALL).drop("many")
         small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"))
         large = of.where(F.col("many") > SMALL)
-        bags = texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary").join(nodes.select("node", "sketch"), "node")
+        bags = texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary")
         blocks = F.ceil(F.col("many") / SIDE)
         large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-        large = dealt_join(written(large, "near-blocks"), written(bags, "near-bags"), "node")
+        large = large.join(written(bags, "near-bags"), "node")
         large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least), f"a {kind}, b {kind}")
         left = written(small.union(large).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
         take = 1
         while not left.isEmpty():  # a node's tests with one class: 1, then up to 8, 64 ... more of them
             left = written(labelled(left, labels), "near-left")
-            chosen = left.groupBy("a", "lb", F.pmod(F.xxhash64("b"), F.lit(take)).alias("draw")).agg(F.min("b").alias("b")).select("a", "b")
             if left.isEmpty():
                 break
-            first = first.unionByName(tested(chosen))
-            labels = components(first.where("linked"), "near-first")
-            left, take = written(left.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left"), take * 8
+            chosen = left.groupBy("a", "lb", F.pmod(F.xxhash64("b"), F.lit(take)).alias("draw")).agg(F.min("b").alias("b")).select("a", "b")
+            more = tested(chosen)
+            first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-more")
+            left, take = written(left.select("a", "b").join(more.select("a", "b"), ["a", "b"], "left_anti"), "near-left"), take * 8
     links = first.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = labels.join(degree, "node", "left")
