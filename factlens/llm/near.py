@@ -9,9 +9,11 @@ tested or become of one class, whatever the size of the group:
 1. each node is tested against the smallest node of all its keys, which joins most of a large group at a test a node;
 2. against the smallest node of each key that is not of its class yet;
 3. where nodes still are of another class than their key's smallest: against the smallest of these, and a drawn one;
-4. all pairs that are left, in rounds. Groups of more than SMALL nodes are cut into blocks, every block meets every block,
-   and pairs that the word counts rule out (by length, or by the words that both have in each of BAGS hash groups) need no
-   alignment. What is compared here grows with the square of a group that holds many classes.
+4. all pairs that are left, in rounds: of every two classes that share a key the likeliest pair, then up to 8, 64 and more,
+   until each pair is tested or of one class. Groups of more than SMALL nodes are cut into blocks, every block meets every
+   block, and pairs that the word counts rule out (by length, or by the words that both have in each of BAGS hash groups) need
+   no alignment. The word counts that are compared here grow with the square of a group that holds many classes, what is
+   written and aligned with the pairs of classes that may be similar.
 
 So a link is missed only if its texts share no key. A pair is verified by alignment: edit similarity 1 - d / max(n, m) over
 words of at least SIMILARITY. Word, pair and triple counts rule out what cannot reach it; k-mers that are unique in both texts
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import dealt_join, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
-SMALL, SIDE, BAGS = 16, 2048, 128  # none changes a class
+SMALL, SIDE, BAGS = 16, 1024, 128  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -263,8 +265,8 @@ def _bagger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(h) for h in hashes], "bag": bags})
 
 
-def _crosser(least: float):
-    """The pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts."""
+def _crosser(least: float, take: int):
+    """Of the pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts, the `take` likeliest of every two classes, and whether these had more."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["block", "n", "node"])
@@ -274,7 +276,7 @@ def _crosser(least: float):
         full = (bag == 255).any(axis=1)  # such a group may hold more
         first = int((part["block"] == part["lo"]).sum())
         two = part["lo"].iloc[0] != part["hi"].iloc[0]
-        a, b = [], []
+        found = [np.empty((0, 4), np.int64)]
         for i in range(first):
             start, stop = (first, len(part)) if two else (i + 1, first)
             # Of the lengths, in ascending order, only those from n * least to n / least can be similar.
@@ -283,10 +285,24 @@ def _crosser(least: float):
             longest = np.maximum(n[at], n[i])
             most = ((1 - least) * longest + 1e-9).astype(np.int64)
             both = np.minimum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
-            at = at[((longest - both <= most) | full[at] | full[i]) & (longest - np.minimum(n[at], n[i]) <= most)]
-            a.append(np.maximum(node[at], node[i]))
-            b.append(np.minimum(node[at], node[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": node[:0], "b": node[:0]})
+            ok = ((longest - both <= most) | full[at] | full[i]) & (longest - np.minimum(n[at], n[i]) <= most)
+            at, left = at[ok], (longest - both)[ok]
+            if len(at):
+                order = np.lexsort((left, label[at]))
+                at, left = at[order], left[order]
+                head = np.flatnonzero(np.concatenate([[True], label[at[1:]] != label[at[:-1]]]))
+                size = np.diff(np.concatenate([head, [len(at)]]))
+                nth = np.arange(len(at)) - np.repeat(head, size)
+                keep = nth < take
+                found.append(np.stack([np.full(int(keep.sum()), i), at[keep], left[keep], np.where(nth == 0, np.repeat(size, size), 0)[keep]], axis=1))
+        x = pd.DataFrame(np.concatenate(found), columns=["i", "j", "left", "many"])
+        x["p"], x["q"] = np.minimum(label[x["i"]], label[x["j"]]), np.maximum(label[x["i"]], label[x["j"]])
+        x = x.sort_values(["left", "i", "j"], kind="stable")
+        classes = x.groupby(["p", "q"])
+        x = x.assign(nth=classes.cumcount(), more=classes["many"].transform("sum") > take)
+        x = x[x["nth"] < take]
+        u, v = node[x["i"]], node[x["j"]]
+        return pd.DataFrame({"a": np.maximum(u, v), "b": np.minimum(u, v), "more": x["more"].to_numpy(bool)})
 
     return run
 
@@ -377,28 +393,30 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         more = written(more.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "near-drawn")
         more = tested(labelled(more, labels).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"))
         first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-drawn")
-        of = written(dealt_join(of_class().select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
-        many = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        of = written(dealt_join(of, many.select("bucket", "many"), "bucket", counts=counts), "near-left")
-        small = of.where(F.col("many") <= SMALL).drop("many")
-        small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        large = of.where(F.col("many") > SMALL)
-        bags = texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary")
-        blocks = F.ceil(F.col("many") / SIDE)
-        large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-        large = large.join(written(bags, "near-bags"), "node")
-        large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least), f"a {kind}, b {kind}")
-        left = written(small.union(large).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
-        take = 1
-        while not left.isEmpty():  # a node's tests with one class: 1, then up to 8, 64 ... more of them
-            left = written(labelled(left, labels), "near-left")
-            if left.isEmpty():
+        bags, take = None, 1
+        while True:  # the likeliest pair of every two classes that share a key, then up to 8, 64 ... of them
+            of = written(dealt_join(of_class().select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
+            mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            mixed = written(mixed.select("bucket", "many"), "near-mixed")
+            of = dealt_join(of, mixed, "bucket", counts=counts)
+            small = of.where(F.col("many") <= SMALL).drop("many")
+            small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(False).alias("more"))
+            large = of.where(F.col("many") > SMALL)
+            if bags is None:
+                bags = written(texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
+            blocks = F.ceil(F.col("many") / SIDE)
+            large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(bags, "node")
+            large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least, take), f"a {kind}, b {kind}, more boolean")
+            found = written(small.union(large).groupBy("a", "b").agg(F.max("more").alias("more")), "near-found")
+            left = written(found.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
+            if not left.isEmpty():
+                more = tested(left)
+                first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-more")
+            elif found.where("more").isEmpty():
                 break
-            chosen = left.groupBy("a", "lb", F.pmod(F.xxhash64("b"), F.lit(take)).alias("draw")).agg(F.min("b").alias("b")).select("a", "b")
-            more = tested(chosen)
-            first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-more")
-            left, take = written(left.select("a", "b").join(more.select("a", "b"), ["a", "b"], "left_anti"), "near-left"), take * 8
+            else:
+                take *= 8
     links = first.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = labels.join(degree, "node", "left")
