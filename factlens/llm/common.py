@@ -78,7 +78,7 @@ def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], how: str
         return rows.join(side, keys, how)
     limit = max(1, n // (4 * n_partitions(rows.sparkSession)))
     many = rows.groupBy(*keys).agg(F.count("*").alias("many")) if counts is None else counts
-    hot = many.where(F.col("many") > limit).select(*keys, F.ceil(F.col("many") / limit).alias("__parts"))
+    hot = written(many.where(F.col("many") > limit).select(*keys, F.ceil(F.col("many") / limit).alias("__parts")).coalesce(1), "hot-keys")
     if hot.isEmpty():
         return rows.join(side, keys, how)
     salt = F.pmod(F.xxhash64(*rows.columns), F.col("__parts"))

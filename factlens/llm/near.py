@@ -6,13 +6,12 @@ words came before); the PICK smallest are kept in text order, and every two of t
 passages change it. Nodes that share a key are candidates. All pairs of a key's nodes that are of different classes are
 tested or become of one class, whatever the size of the group:
 
-1. each node is tested against the smallest node of all its keys, which joins most of a large group at a test a node;
-2. against the smallest node of each key that is not of its class yet;
-3. where nodes still are of another class than their key's smallest: against the smallest of these, and a drawn one;
-4. all pairs that are left, in rounds: of every two classes that share a key the likeliest pair, then up to 8, 64 and more,
-   until each pair is tested or of one class. Groups of more than SMALL nodes are cut into blocks, every block meets every
-   block, and pairs that the word counts rule out (by length, or by the words that both have in each of BAGS hash groups) need
-   no alignment. The word counts that are compared here grow with the square of a group that holds many classes, what is
+1. each node is tested against the smallest node of all its keys, and against the one that is the smallest of most of its
+   keys; this joins most of a large group at two tests a node;
+2. all pairs that are left, in rounds: of every two classes that share a key the likeliest pair, then up to 8, 64 and more,
+   until each pair is tested or of one class. Pairs that the word counts rule out (by length, or by the words that both have in
+   each of BAGS hash groups) need no alignment. Groups of more than SMALL nodes are cut into blocks, and every block meets
+   every block. The word counts that are compared here grow with the square of a group that holds many classes, what is
    written and aligned with the pairs of classes that may be similar.
 
 So a link is missed only if its texts share no key. A pair is verified by alignment: edit similarity 1 - d / max(n, m) over
@@ -265,6 +264,21 @@ def _bagger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(h) for h in hashes], "bag": bags})
 
 
+def _sifter(least: float):
+    """The pairs that could be similar by their word counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(len(x), BAGS) for c in ("bag_a", "bag_b"))
+            longest, shortest = np.maximum(x["n_a"], x["n_b"]).to_numpy(), np.minimum(x["n_a"], x["n_b"]).to_numpy()
+            most = ((1 - least) * longest + 1e-9).astype(np.int64)
+            full = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # such a group may hold more
+            ok = (longest - shortest <= most) & ((longest - np.minimum(a, b).sum(axis=1, dtype=np.int64) <= most) | full)
+            yield x.loc[ok, ["a", "b"]].assign(more=False)
+
+    return run
+
+
 def _crosser(least: float, take: int):
     """Of the pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts, the `take` likeliest of every two classes, and whether these had more."""
 
@@ -362,48 +376,27 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         checked = dealt_join(dealt_join(pairs, side("b"), "b"), side("a"), "a", counts=by_a).mapInPandas(_verifier(least), f"a {kind}, b {kind}, linked boolean")
         return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "near-tested")
 
-    def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """a, b, la, lb of the pairs whose nodes are of different classes."""
-        named = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
-        both = dealt_join(dealt_join(pairs, named("a", "la"), "a", "left"), named("b", "lb"), "b", "left", counts=pairs.groupBy("b").agg(F.count("*").alias("many")))
-        return both.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
-
     every = rows.select("node").distinct()
-    pairs = written(rows.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
-    first = tested(pairs.groupBy("a").agg(F.min("b").alias("b")))
-    star = first.where("linked").select(F.col("a").alias("node"), F.col("b").alias("label"))  # a class in the making: skips tests only
-    apart = labelled(pairs, star).groupBy("a", "lb").agg(F.min("b").alias("b"))
-    first = first.unionByName(tested(apart.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")))
+    pairs = rows.where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
+    pairs = pairs.groupBy("a").agg(F.min("b").alias("b"), F.max_by("b", "shared").alias("most"))
+    first = tested(pairs.select("a", F.explode(F.array_distinct(F.array("b", "most"))).alias("b")))
     begun = components(first.where("linked"), "near-first")
     labels = written(every.join(begun, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-all")
-
-    def of_class() -> DataFrame:
-        return rows.join(labels, "node")
-
-    # A key all of whose nodes are of one class is done; of the others, the nodes that are not of their smallest node's class.
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    mixed = of_class().groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("b").alias("b")).where("low < high").select("bucket", "b")
-    mixed = written(mixed.join(lb, "b").select("bucket", "lb"), "near-mixed")
-    others = dealt_join(of_class().select("node", "bucket", "label"), mixed, "bucket", counts=counts).where("label <> lb").select("node", "bucket", "label")
-    others = written(others, "near-others")
-    if not others.isEmpty():
-        drawn = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("n"))
-        heads = others.groupBy("bucket").agg(F.min("node").alias("second"), F.min(drawn).alias("d"))
-        more = dealt_join(others, heads, "bucket", counts=counts).select("node", F.explode(F.array(F.col("second"), F.col("d.n"))).alias("other"))
-        more = written(more.where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "near-drawn")
-        more = tested(labelled(more, labels).select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"))
-        first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-drawn")
+    mixed = written(rows.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "near-mixed")
+    if not mixed.isEmpty():
         bags, take = None, 1
         while True:  # the likeliest pair of every two classes that share a key, then up to 8, 64 ... of them
-            of = written(dealt_join(of_class().select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
+            of = written(dealt_join(rows.join(labels, "node").select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
             mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
             mixed = written(mixed.select("bucket", "many"), "near-mixed")
             of = dealt_join(of, mixed, "bucket", counts=counts)
             small = of.where(F.col("many") <= SMALL).drop("many")
-            small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b"), F.lit(False).alias("more"))
+            small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
             large = of.where(F.col("many") > SMALL)
             if bags is None:
-                bags = written(texts.join(large.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
+                bags = written(texts.join(of.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
+            side = lambda c: bags.toDF(c, f"n_{c}", f"bag_{c}")
+            small = small.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sifter(least), f"a {kind}, b {kind}, more boolean")
             blocks = F.ceil(F.col("many") / SIDE)
             large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(bags, "node")
