@@ -146,3 +146,37 @@ def casefold(s: pd.Series) -> pd.Series:
 def strip_accents(s: pd.Series) -> pd.Series:
     """Combining marks go, so ё becomes е."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), na_action="ignore")
+
+
+def like_case(value: str | Column, model: str | Column) -> Column:
+    """value with a capital first letter if model has one."""
+    v, m = _c(value), _c(model)
+    first = F.substr(m, F.lit(1), F.lit(1))
+    return F.when(first != F.lower(first), F.concat(F.upper(F.substr(v, F.lit(1), F.lit(1))), F.substr(v, F.lit(2)))).otherwise(v)
+
+
+def valid_template(template: str | Column, stop_words: list[str], most: int = 10) -> Column:
+    """Some words, at most `most`, not led by punctuation, and not stop words only."""
+    w = F.filter(F.split(_c(template), " "), lambda x: x != "")
+    own = F.filter(w, lambda x: ~F.lower(x).isin(stop_words))
+    return (F.size(w) > 0) & ~F.coalesce(F.get(w, F.lit(0)), F.lit("")).rlike(r"^[^\p{L}\p{N}]") & (F.size(w) <= most) & (F.size(own) > 0)
+
+
+def annotation_label(value: str | Column, allowed: list[str]) -> tuple[Column, Column]:
+    """The label in lower case without blanks around it (empty for null), and whether it is one of those allowed."""
+    label = F.lower(F.trim(F.coalesce(_c(value), F.lit(""))))
+    return label, label.isin(allowed)
+
+
+def number_text(value: str | Column, digits: int = 4) -> Column:
+    """A number with so many digits; null is empty."""
+    return F.when(_c(value).isNull(), "").otherwise(F.format_string(f"%.{digits}f", _c(value).cast("double")))
+
+
+def insert_brackets(tokens: str | Column, spans: list[tuple[int, int, str]]) -> Column:
+    """tokens with [NAME] before and [/NAME] after each span (from, to; places from 0). Spans are in order and do not overlap."""
+    t, out, at = _c(tokens), [], 0
+    for a, b, name in spans:
+        out += [F.slice(t, at + 1, a - at), F.array(F.lit(f"[{name}]")), F.slice(t, a + 1, b - a), F.array(F.lit(f"[/{name}]"))]
+        at = b
+    return F.concat(*out, F.slice(t, F.lit(at + 1), F.greatest(F.size(t) - at, F.lit(0))))

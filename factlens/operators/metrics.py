@@ -151,8 +151,8 @@ def crosstab_shares(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def token_accuracy(df: DataFrame, order: list, batch: int, hits: str, tokens: str) -> DataFrame:
-    """The mean of the batches' accuracies, and accuracy over all tokens. Batches follow the order given; numbering them takes
-    a count for each range of rows, not one task."""
-    b = df.withColumn("__b", F.floor((F.col(order[0]) if len(order) == 1 else F.struct(*order)) / batch))
-    per = b.groupBy("__b").agg(F.sum(hits).alias("__h"), F.sum(tokens).alias("__t"))
+    """The mean of the batches' accuracies, and accuracy over all tokens. A batch is `batch` rows in a row by order (splits.every_n)."""
+    from .splits import every_n
+
+    per = every_n(df, order, batch, "__b").groupBy("__b").agg(F.sum(hits).alias("__h"), F.sum(tokens).alias("__t"))
     return per.agg(F.avg(F.col("__h") / F.col("__t")).alias("batch_mean"), (F.sum("__h") / F.sum("__t")).alias("micro"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def argmax_first(df: DataFrame, keys: list[str], score: str | Column, order: str, keep: list[str]) -> DataFrame:
-    """The row with the highest score of each group, the first by order among equals; an aggregate, so it combines map-side."""
+    """The row with the highest score of each group, the first by order among equals. A group limit of one row cuts the groups before they are shuffled."""
     s = F.col(score) if isinstance(score, str) else score
-    best = F.max_by(F.struct(*keep), F.struct(s.alias("s"), (-F.col(order)).alias("o"))).alias("__b")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"__b.{c}").alias(c) for c in keep])
+    w = Window.partitionBy(*keys).orderBy(F.desc("__s"), F.asc(order))
+    return df.withColumn("__s", s).withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*keys, *keep)
 
 
 def length_normalised(score: Column, length: Column, alpha: Column | float) -> Column:

@@ -80,3 +80,33 @@ def weighted_sample(df: DataFrame, group: list[str], key: str, weight: str, n: i
     u = (F.conv(F.substring(shuffled(seed, key), 1, 8), 16, 10).cast("double") + 1) / F.lit(4294967297.0)
     w = Window.partitionBy(*group).orderBy(-F.log(u) / F.col(weight), key)
     return df.where(F.col(weight) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def first_examples(df: DataFrame, keys: list[str], order: str, usable: Column, n: int) -> DataFrame:
+    """The first n usable rows of each group by order: nth (from 1), and how many unusable rows came before."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    one = usable.cast("int")
+    x = df.withColumn("__u", one).withColumn("nth", F.sum("__u").over(w).cast("int")).withColumn("skipped", F.sum(1 - F.col("__u")).over(w))
+    return x.where((F.col("__u") == 1) & (F.col("nth") <= n)).drop("__u")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """name: the row's place by order, from 0. A range exchange puts neighbours together, each range is counted, and the ranges' prefix sums (one row a range) are added; no task sees all rows."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that both readers get the same ranges
+    x = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    x = x.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    ends = x.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.join(F.broadcast(ends.select("__range", before.alias("__before"))), "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")
+
+
+def every_n(df: DataFrame, order: list[str], n: int, name: str = "batch") -> DataFrame:
+    """name: which n rows in a row, by order, a row belongs to, from 0."""
+    return numbered(df, order, name).withColumn(name, F.expr(f"`{name}` div {n}"))
+
+
+def balanced_negatives(df: DataFrame, keys: list[str], positive: str, order: str) -> DataFrame:
+    """All positives of each group and as many of its negatives, the first by order."""
+    group = Window.partitionBy(*keys)
+    x = df.withColumn("__n", F.count_if(positive).over(group)).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, positive).orderBy(order)))
+    return x.where(F.col(positive) | (F.col("__r") <= F.col("__n"))).drop("__n", "__r")

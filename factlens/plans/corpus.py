@@ -162,13 +162,10 @@ def w24_greedy_capped(spark, sf_dir):
     return mining.greedy_capped(x, "path", ["a", "b", "c"], "score", 20, 100)
 
 
-@query("""WITH w AS (SELECT lang, unnest(list_distinct(string_split(text, ' '))) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) SELECT lang, word, n FROM r WHERE r <= 10""")
+@query("""WITH w AS (SELECT lang, unnest(list_distinct(string_split(text, ' '))) AS word FROM documents) SELECT lang, word, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 10""")
 def a41_template_counts(spark, sf_dir):
-    from pyspark.sql import Window
-
-    x = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 10")
-    return x.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where("r <= 10").drop("r")
+    x = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    return x.groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 10")
 
 
 @query("""SELECT doc_id, regexp_replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' +', ' ', 'g') AS clean FROM documents""")
