@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def shuffled(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
@@ -91,9 +93,8 @@ def first_examples(df: DataFrame, keys: list[str], order: str, usable: Column, n
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """name: the row's place by order, from 0. A range exchange puts neighbours together, each range is counted, and the ranges' prefix sums (one row a range) are added; no task sees all rows."""
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that both readers get the same ranges
-    x = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    """name: the row's place by order, from 0. A range exchange puts neighbours together, each range is counted, and the ranges' prefix sums (one row a range) are added; no task sees all rows. The ranges are written once, for they are drawn anew each time they are computed."""
+    x = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     x = x.withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
     ends = x.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
