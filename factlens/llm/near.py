@@ -8,8 +8,8 @@ tested or become of one class, whatever the size of the group:
 
 1. each node is tested against the smallest node of all its keys, and against the one that is the smallest of most of its
    keys; this joins most of a large group at two tests a node;
-2. all pairs that are left, in rounds: of every two classes that share a key the likeliest pair, then up to 8, 64 and more,
-   until each pair is tested or of one class. Pairs that the word counts rule out (by length, or by the words that both have in
+2. all pairs that are left, in rounds: of every two classes that share a key the likeliest pair, then the 64 likeliest, then
+   all, until each pair is tested or of one class. Pairs that the word counts rule out (by length, or by the words that both have in
    each of BAGS hash groups) need no alignment. Groups of more than SMALL nodes are cut into blocks, and every block meets
    every block. The word counts that are compared here grow with the square of a group that holds many classes, what is
    written and aligned with the pairs of classes that may be similar.
@@ -385,7 +385,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     mixed = written(rows.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "near-mixed")
     if not mixed.isEmpty():
         bags, take = None, 1
-        while True:  # the likeliest pair of every two classes that share a key, then up to 8, 64 ... of them
+        while True:  # the likeliest pair of every two classes that share a key, then up to 64 of them, then all
             of = written(dealt_join(rows.join(labels, "node").select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
             mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
             mixed = written(mixed.select("bucket", "many"), "near-mixed")
@@ -409,7 +409,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             elif found.where("more").isEmpty():
                 break
             else:
-                take *= 8
+                take = 64 if take == 1 else 1 << 40
     links = first.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = labels.join(degree, "node", "left")
