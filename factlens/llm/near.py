@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import dealt_join, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
-SMALL, SIDE, BAGS = 16, 1024, 128  # none changes a class
+SMALL, SIDE, BAGS = 16, 1024, 256  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
