@@ -115,3 +115,24 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.csv_or_empty(spark, f"{tmp_path}/none.csv", "a int").count() == 0
     (tmp_path / "l.txt").write_text("x\ny\n\nz\n")
     assert [(r.line_id, r.value) for r in readers.lines(spark, f"{tmp_path}/l.txt").collect()] == [(0, "x"), (1, "y"), (2, ""), (3, "z")]
+
+
+def test_rendering_edges(spark):
+    from factlens.functions import languages as L
+
+    rows = [("[DEF;X] [X.Gen] [Y]", None, None, None), ("[X] [X] [DEF;X]", "", "female", "city"), (None, "Πάρος", "male", None), ("", "Πάρος", "male", None), ("[PREPDEF;X] [X]", "Πάρος", "male", None)]
+    df = spark.createDataFrame(rows, "p string, l string, s string, k string")
+    got = [r.text for r in L.fill_role(df, "el", "x", "p", "l", sex="s", instance="k").collect()]
+    assert got[1:] == [" [X] η", None, "", "[PREPDEF;X] Πάρος"] and got[0].endswith("[Y]")
+    masked = L.fill_role(df, "el", "x", "p", "l", sex="s", masks=2, articles=False).collect()
+    assert masked[1].text == "[MASK] [MASK] [X] " and masked[1].filled == ""
+    assert L.fill_role(spark.createDataFrame([("[X] x", "a")], "p string, l string"), "vi", "x", "p", "l").first().text == "a x"
+    none = L.fill_role(spark.createDataFrame([], "p string, l string"), "fr", "y", "p", "l")
+    assert none.columns == ["p", "l", "text", "filled"] and none.isEmpty()
+
+
+def test_russian_template_without_slot_raises(spark):
+    from factlens.functions import languages as L
+
+    with pytest.raises(Exception, match="no X in"):
+        L.fill_role(spark.createDataFrame([("x", "a")], "p string, l string"), "ru", "x", "p", "l").collect()
