@@ -245,6 +245,7 @@ def fill_role(
     kind has the first filled, but for suffixed slots and languages without rules.
     """
     rules, up = LANGUAGES.get(lang), role.upper()
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
     text, label = _c(prompt), _c(label)
     masks = F.lit(masks) if isinstance(masks, int) else masks
     target = lambda x: F.when(masks > 0, mask_string(masks.cast("int"))).otherwise(x)
@@ -261,8 +262,8 @@ def fill_role(
     if rules.squeeze:
         words = F.filter(words, lambda w: F.trim(w) != "")
     parts = {"gender": gender, "number": number, "words": words, "text": text, "label": label, "kind": kind, "sex": sex, "masks": masks}
-    df = df.select("*", F.struct(*[v.alias(k) for k, v in parts.items()]).alias("__a"))
-    gender, number, words, text, label, kind, sex, masks = (F.col(f"__a.{k}") for k in parts)
+    df = df.withColumns({f"__a_{k}": v for k, v in parts.items()})
+    gender, number, words, text, label, kind, sex, masks = (F.col(f"__a_{k}") for k in parts)
     target = lambda x: F.when(masks > 0, mask_string(masks.cast("int"))).otherwise(x)
     cases = rules.x_cases if role == "x" else rules.y_cases
     token = lambda c: f"[{up}.{c}]" if c else f"[{up}]"
@@ -293,9 +294,9 @@ def fill_role(
     if lang == "tr":
         be = f"[{up};be]"
         whole = F.when(F.array_contains(words, be), with_copula_tr(filled, number)).otherwise(filled)
-    parts = {"case": case_of, "slot": slot, "value": value, "whole": whole, "gender": gender}
-    df = df.select("*", F.struct(*[v.alias(k) for k, v in parts.items()]).alias("__b"))
-    case_of, slot, value, filled, gender = (F.col(f"__b.{k}") for k in parts)
+    parts |= {"case": case_of, "slot": slot, "value": value, "whole": whole, "gender": gender}
+    df = df.withColumns({f"__b_{k}": parts[k] for k in ("case", "slot", "value", "whole", "gender")})
+    case_of, slot, value, filled, gender = (F.col(f"__b_{k}") for k in ("case", "slot", "value", "whole", "gender"))
     puts: list[tuple[Column | str, Column]] = [(slot, value)]
     if lang == "tr":
         puts.append((be, target(filled)))
@@ -365,11 +366,11 @@ def fill_role(
             return F.when(two & F.contains(w, F.lit("human")), F.when(human, _form(o, 0, ":", 1)).otherwise(_form(o, 1, ":", 1))).otherwise(w)
         return w
 
-    df = df.select("*", words.alias("__c"))
+    df = df.withColumn("__c", words)
     out = F.array_join(F.transform(F.col("__c"), agree), " ")
     if rules.whole_required:
         out = F.when(slot.isNull() & text.isNotNull(), F.raise_error(F.concat(F.lit(f"no {up} in: "), text))).otherwise(out)
-    return df.withColumns({names[0]: out, names[1]: filled}).drop("__a", "__b", "__c")
+    return df.withColumns({names[0]: out, names[1]: filled}).select(*kept, *names)
 
 
 def inflected(df: DataFrame, label: str, tag: str, model: Callable[[pd.Series, pd.Series], pd.Series], name: str = "form") -> DataFrame:
