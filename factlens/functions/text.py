@@ -180,3 +180,64 @@ def insert_brackets(tokens: str | Column, spans: list[tuple[int, int, str]]) ->
         out += [F.slice(t, at + 1, a - at), F.array(F.lit(f"[{name}]")), F.slice(t, a + 1, b - a), F.array(F.lit(f"[/{name}]"))]
         at = b
     return F.concat(*out, F.slice(t, F.lit(at + 1), F.greatest(F.size(t) - at, F.lit(0))))
+
+
+def quoted_label(value: str | Column, lang: str) -> Column:
+    """The label of a quoted value with a language tag, as in "Rome"@en; null for other languages."""
+    v, tag = _c(value), "@" + lang
+    return F.when(v.endswith(tag), F.substr(v, F.lit(2), F.greatest(F.char_length(v) - len(tag) - 2, F.lit(0))))
+
+
+def tokenizer_text(value: str | Column, lower: bool = False) -> Column:
+    """Runs of white space as one blank, typed double quotes as a quote mark, no accents."""
+    v = strip_accents_nfkd(F.replace(F.replace(F.btrim(F.regexp_replace(_c(value), r"\s+", " ")), F.lit("``"), F.lit('"')), F.lit("''"), F.lit('"')))
+    return F.lower(v) if lower else v
+
+
+@F.pandas_udf(StringType())
+def strip_accents_nfkd(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+
+
+def bracket_spans(value: str | Column) -> tuple[Column, Column, Column]:
+    """Of text marked [[ name ]]_x and [[ name ]]_y: the text without marks, and where x and y stand among its words, counted from 1, as n or a-b (null if unmarked). An opening mark counts for the next closing one."""
+    state = "struct<words:array<string>,open:int,x:string,y:string>"
+    start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(None).cast("int").alias("open"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y")).cast(state)
+
+    def step(s: Column, w: Column) -> Column:
+        n = F.size(s["words"])
+        at = F.when(n == s["open"], n.cast("string")).otherwise(F.concat_ws("-", s["open"].cast("string"), n.cast("string")))
+        new = lambda words, open_, x, y: F.struct(words.alias("words"), open_.cast("int").alias("open"), x.alias("x"), y.alias("y"))
+        return (
+            F.when(w == "[[", new(s["words"], n + 1, s["x"], s["y"]))
+            .when(w.startswith("]]_x"), new(s["words"], s["open"], at, s["y"]))
+            .when(w.startswith("]]_y"), new(s["words"], s["open"], s["x"], at))
+            .otherwise(new(F.concat(s["words"], F.array(w)), s["open"], s["x"], s["y"]))
+        )
+
+    got = F.aggregate(F.filter(F.split(_c(value), r"\s+"), lambda w: w != ""), start, step)
+    return F.array_join(got["words"], " "), got["x"], got["y"]
+
+
+def dated_words(words: str | Column, dates: str | Column) -> Column:
+    """word:date where the date at the word's place is given, [word] for other numbers, else the word."""
+    return F.zip_with(_c(words), _c(dates), lambda w, d: F.when(d.isNotNull(), F.concat_ws(":", w, d)).when(w.rlike("^[0-9]+$"), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+
+
+def date_property(prop: str | Column, target: str | Column, tail: str | Column, tail_is: str | Column) -> Column:
+    """(prop, year) if the property's target is a time and the tail, or what it stands for, is a whole number; else null."""
+    year = F.coalesce(F.try_to_number(_c(tail), F.lit("999999")), F.try_to_number(_c(tail_is), F.lit("999999"))).cast("long")
+    return F.when((_c(target) == "/w/time") & year.isNotNull(), F.struct(_c(prop).alias("prop"), year.alias("year")))
+
+
+def inflection_grid(label: str | Column, cases: list[str], numbers: list[str]) -> Column:
+    """Every N;case;number tag of a label, as an array to explode."""
+    return F.transform(F.array(*[F.lit(f"N;{c};{n}") for c in cases for n in numbers]), lambda t: F.struct(_c(label).alias("label"), t.alias("tag")))
+
+
+def fill_some(template: str | Column, values: dict[str, str | Column]) -> Column:
+    """{name} for each name that has a value; the rest stay."""
+    out = _c(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), _c(v))
+    return out
