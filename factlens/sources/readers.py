@@ -125,3 +125,83 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def categories(spark: SparkSession, path: str) -> DataFrame:
+    """entity, is_category: tab-separated, any whole number but 0 is true."""
+    p = F.split("value", "\t")
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.get(p, F.lit(0)).alias("entity"), (F.trim(F.get(p, F.lit(1))).cast("int") != 0).alias("is_category"))
+
+
+def relations(spark: SparkSession, path: str) -> DataFrame:
+    """Relation metadata, JSON lines; of lines that share a relation one stays, the last by file and place in it."""
+    x = spark.read.schema("relation string, template string, label string, description string, type string").json(path)
+    x = x.withColumn("__at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    rest = [c for c in x.columns if c != "relation"]
+    return x.groupBy("relation").agg(*[F.max(F.struct("__at", *[c for c in rest if c != "__at"])).alias("r")]).select("relation", *[F.col(f"r.{c}").alias(c) for c in rest if c != "__at"])
+
+
+def languages_of(spark: SparkSession, path: str, keys: tuple[str, ...] = ("pid", "relation")) -> list[str]:
+    """The languages that a template file has columns for: its header without the keys."""
+    return [c for c in spark.read.csv(path, header=True).columns if c not in keys]
+
+
+def template_table(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated templates with a header: relation, label, description, type, template by place; missing columns are null."""
+    return spark.read.schema("relation string, label string, description string, type string, template string").csv(path, sep="\t", header=True, enforceSchema=True, quote="")
+
+
+def extra_prompts(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
+    """relation (the file's stem), nth (from 0), template: the first `most` lines of each file. The cut is the feature."""
+    x = lines(spark, path).where(F.length(F.trim("value")) > 0)
+    return x.where(F.col("line_id") < most).select(_stem(F.col("file")).alias("relation"), F.col("line_id").alias("nth"), F.get_json_object("value", "$.template").alias("template"))
+
+
+def restricted_facts(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """relation (null in pairs), sub_uri, obj_uri of one part of a manifest; entries of other than two or three raise."""
+    x = spark.read.schema(f"`{part}` array<array<string>>").option("multiLine", True).json(path).select(F.explode(f"`{part}`").alias("f"))
+    n = F.size("f")
+    f = F.when(n.isin(2, 3), F.col("f")).otherwise(F.raise_error(F.concat(F.lit("a restricted fact needs two or three entries: "), F.array_join("f", ","))).cast("array<string>"))
+    return x.select(F.when(n == 3, F.get(f, F.lit(0))).alias("relation"), F.element_at(f, -2).alias("sub_uri"), F.element_at(f, -1).alias("obj_uri")).distinct()
+
+
+def histories(spark: SparkSession, pattern: str) -> DataFrame:
+    """model, run, seed, epoch, lang, val_loss, train_loss (null for languages without): one row an epoch and validated language."""
+    x = runs(spark, pattern, "epoch int, val_loss_by_lang map<string,double>, train_loss_by_lang map<string,double>")
+    x = x.select("model", "run", "seed", "epoch", "train_loss_by_lang", F.explode("val_loss_by_lang").alias("lang", "val_loss"))
+    return x.withColumn("train_loss", F.try_element_at("train_loss_by_lang", "lang")).drop("train_loss_by_lang")
+
+
+def prediction_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV whose header may repeat a name: the second of a name gets .1, and so on, as pandas names them; all columns are strings."""
+    head = spark.read.text(path).first()
+    seen: dict[str, int] = {}
+    names = []
+    for c in (head.value if head else "").split(","):
+        names.append(f"{c}.{seen[c]}" if c in seen else c)
+        seen[c] = seen.get(c, 0) + 1
+    schema = ", ".join(f"`{c}` string" for c in names)
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotation CSVs with a header, with or without a byte-order mark; source_file is the file's name. Columns are strings."""
+    x = spark.read.csv(path, header=True)
+    return x.toDF(*[c.lstrip("﻿") for c in x.columns]).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
+def code_switched(spark: SparkSession, path: str) -> DataFrame:
+    """text, mentions (arrays of what stands between |||): tab-separated lines, the text first."""
+    p = F.split(F.btrim("value", F.lit(" \t\r")), "\t")
+    return spark.read.text(path).select(F.get(p, F.lit(0)).alias("text"), F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda m: F.split(m, r" \|\|\| ")).alias("mentions"))
+
+
+def triples(spark: SparkSession, path: str) -> DataFrame:
+    """Documents' triples: docid, predicate, sub_uri, sub_form, obj_uri, obj_form; only those of entities (Q) and properties (P)."""
+    end = "struct<uri:string,surfaceform:string>"
+    x = spark.read.schema(f"docid string, triples array<struct<subject:{end},predicate:{end},object:{end}>>").option("multiLine", True).json(path)
+    tail = lambda c: F.element_at(F.split(F.col(c), "[/#]"), -1)
+    x = x.select("docid", F.explode("triples").alias("t")).select(
+        "docid", tail("t.predicate.uri").alias("predicate"), tail("t.subject.uri").alias("sub_uri"), F.col("t.subject.surfaceform").alias("sub_form"), tail("t.object.uri").alias("obj_uri"), F.col("t.object.surfaceform").alias("obj_form")
+    )
+    return x.where("predicate LIKE 'P%' AND sub_uri LIKE 'Q%' AND obj_uri LIKE 'Q%'")

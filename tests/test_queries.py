@@ -136,3 +136,42 @@ def test_russian_template_without_slot_raises(spark):
 
     with pytest.raises(Exception, match="no X in"):
         L.fill_role(spark.createDataFrame([("x", "a")], "p string, l string"), "ru", "x", "p", "l").collect()
+
+
+def test_more_formats(spark, tmp_path):
+    w = lambda name, text: (tmp_path / name).parent.mkdir(parents=True, exist_ok=True) or (tmp_path / name).write_text(text, encoding="utf-8")
+    w("cate.txt", "Q1\t1\nQ2\t0\n\n")
+    assert {r.entity: r.is_category for r in readers.categories(spark, f"{tmp_path}/cate.txt").collect()} == {"Q1": True, "Q2": False}
+    w("rel.jsonl", '{"relation":"P1","type":"N-1"}\n{"relation":"P1","type":"N-M","template":"t"}\n')
+    assert [(r.relation, r.type, r.template) for r in readers.relations(spark, f"{tmp_path}/rel.jsonl").collect()] == [("P1", "N-M", "t")]
+    w("langs.csv", "pid,en,nl\nP1,a,b\n")
+    assert readers.languages_of(spark, f"{tmp_path}/langs.csv") == ["en", "nl"]
+    w("t.tsv", "rel\tl\td\tt\ttemplate\nP1\tborn\tis \"x\tN-1\t[X] in [Y]\n")
+    assert readers.template_table(spark, f"{tmp_path}/t.tsv").first().template == "[X] in [Y]"
+    w("prompts/P1.jsonl", "".join('{"template":"%d"}\n' % i for i in range(60)))
+    got = readers.extra_prompts(spark, f"{tmp_path}/prompts")
+    assert got.count() == 50 and {r.relation for r in got.collect()} == {"P1"} and got.where("nth = 49").first().template == "49"
+    w("some.json", '{"a":[["P1","Q1","Q2"],["Q3","Q4"]],"b":[["x"]]}')
+    assert sorted(map(tuple, readers.restricted_facts(spark, f"{tmp_path}/some.json", "a").collect()), key=str) == [("P1", "Q1", "Q2"), (None, "Q3", "Q4")]
+    with pytest.raises(Exception, match="two or three"):
+        readers.restricted_facts(spark, f"{tmp_path}/some.json", "b").collect()
+    w("m/r/seed2/history_1.json", '[{"epoch":1,"val_loss_by_lang":{"en":1.5,"nl":2.0},"train_loss_by_lang":{"en":1.0}}]')
+    got = {r.lang: r for r in readers.histories(spark, f"{tmp_path}/m/r/seed2/history_1.json").collect()}
+    assert got["nl"].train_loss is None and got["en"].train_loss == 1.0 and (got["en"].model, got["en"].run, got["en"].seed) == ("m", "r", 2)
+    w("pred.csv", "a,is_same,is_same\n1,x,y\n")
+    assert readers.prediction_table(spark, f"{tmp_path}/pred.csv").collect()[0].asDict() == {"a": "1", "is_same": "x", "is_same.1": "y"}
+    w("switch.txt", "a b\tQ1 ||| x ||| y\tQ2 ||| z\nc\n")
+    assert [(r.text, r.mentions) for r in readers.code_switched(spark, f"{tmp_path}/switch.txt").collect()] == [("a b", [["Q1", "x", "y"], ["Q2", "z"]]), ("c", [])]
+    u = "http://x/"
+    w("trex.json", '[{"docid":"d","triples":[{"subject":{"uri":"%sQ1","surfaceform":"s"},"predicate":{"uri":"%sP1"},"object":{"uri":"%sQ2","surfaceform":"o"}},{"subject":{"uri":"%sQ1"},"predicate":{"uri":"%sP2"},"object":{"uri":"2001"}}]}]' % (u, u, u, u, u))
+    assert [(r.predicate, r.sub_uri, r.obj_form) for r in readers.triples(spark, f"{tmp_path}/trex.json").collect()] == [("P1", "Q1", "o")]
+    df = spark.createDataFrame([("Q10", "b"), ("Q2", "z"), ("Q10", "a"), ("Q10", "a")], "e string, v string")
+    read = lambda p: [line for f in sorted((tmp_path / p).glob("part-*")) for line in f.read_text(encoding="utf-8").splitlines()]
+    writers.tail_file(df, f"{tmp_path}/tail", "e", "v")
+    assert read("tail") == ["Q2\tz", "Q10\ta\tb"]
+    writers.csv(df.coalesce(1), f"{tmp_path}/marked", mark=True)
+    assert read("marked")[0] == "﻿e,v" and readers.annotations(spark, f"{tmp_path}/marked").columns == ["e", "v", "source_file"]
+    writers.objects_file(spark.createDataFrame([("P2", "Q1", "Q9"), ("P1", "Q10", "Q3"), ("P1", "Q2", "Q5"), ("P1", "Q2", "Q4")], "r string, s string, o string"), f"{tmp_path}/objects", "r", "s", "o")
+    assert read("objects") == ["Q2\tP1\tQ4 Q5", "Q10\tP1\tQ3", "Q1\tP2\tQ9"]
+    writers.aligned_texts(spark.createDataFrame([(i, f"a{i}", None if i == 3 else f"b{i}") for i in range(20)], "i int, a string, b string"), f"{tmp_path}/five", ["a", "b"], ["i"])
+    assert [x[1:] for x in read("five/a")] == [str(i) for i in range(20)] and [x[1:] for x in read("five/b")] == [str(i) if i != 3 else "" for i in range(20)]
