@@ -156,3 +156,22 @@ def token_accuracy(df: DataFrame, order: list, batch: int, hits: str, tokens: st
 
     per = every_n(df, order, batch, "__b").groupBy("__b").agg(F.sum(hits).alias("__h"), F.sum(tokens).alias("__t"))
     return per.agg(F.avg(F.col("__h") / F.col("__t")).alias("batch_mean"), (F.sum("__h") / F.sum("__t")).alias("micro"))
+
+
+def transfer_by_bucket(df: DataFrame, fact: list[str], lang: str, pivot_lang: str, keys: list[str], seed: str, bucket: str, buckets: list[str], correct: str = "correct") -> DataFrame:
+    """keys, lang, bucket, p_mean, p_std, n: P(right in a language | right in pivot_lang) by bucket and seed, then its mean and deviation over seeds. A language that a seed scored has every bucket; an empty one has no p (it does not count in p_mean) and n 0. One conditional aggregate makes all buckets, so there is no grid to join."""
+    base = df.where((F.col(lang) == pivot_lang) & (F.col(correct) == 1)).select(*keys, seed, *fact).distinct().withColumn("__given", F.lit(True))
+    rows = df.where(F.col(lang) != pivot_lang).join(base, [*keys, seed, *fact], "left")
+    of = lambda b: F.col("__given") & (F.col(bucket) == b)
+    cells = [F.struct(F.lit(b).alias("bucket"), F.avg(F.when(of(b), F.col(correct))).alias("p"), F.count(F.when(of(b), 1)).alias("n")) for b in buckets]
+    per = rows.groupBy(*keys, seed, lang).agg(F.array(*cells).alias("__c")).select(*keys, lang, F.explode("__c").alias("c"))
+    return per.groupBy(*keys, lang, F.col("c.bucket").alias("bucket")).agg(F.avg("c.p").alias("p_mean"), F.stddev_samp("c.p").alias("p_std"), F.avg("c.n").alias("n"))
+
+
+def complete_jaccard(df: DataFrame, fact: str, lang: str, keys: list[str], seed: str, correct: str = "correct") -> DataFrame:
+    """keys, lang_a, lang_b, jaccard_mean: pairwise_overlap on the facts that the seed scored in all of its languages, averaged over seeds; seeds without any right answer in the two do not count."""
+    per = df.groupBy(*keys, seed, fact).agg(F.countDistinct(lang).alias("__n"))
+    every = df.groupBy(*keys, seed).agg(F.countDistinct(lang).alias("__l"))
+    whole = per.join(every, [*keys, seed]).where("__n = __l").select(*keys, seed, fact)
+    out = pairwise_overlap(df.join(whole, [*keys, seed, fact], "left_semi"), fact, lang, [*keys, seed], correct)
+    return out.groupBy(*keys, "lang_a", "lang_b").agg(F.avg("jaccard").alias("jaccard_mean"))

@@ -76,3 +76,11 @@ def bootstrap_difference(df: DataFrame, keys: list[str], relation: str, a: str,
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return counts.groupBy(*keys).applyInPandas(draw, f"{kinds}, difference double, low double, high double, p_value double")
+
+
+def calibration_by_stratum(df: DataFrame, keys: list[str], confidence: str, correct: str, length: str, bins: int = 10) -> DataFrame:
+    """keys, stratum (all, single, multi by answer length), ece (empty bins skipped), n, and ece_strict: null where a bin is empty, which has no mean."""
+    x = df.select("*", F.explode(F.array(F.lit("all"), F.when(F.col(length) <= 1, "single").otherwise("multi"))).alias("stratum"))
+    b = calibration_bins(x, [*keys, "stratum"], confidence, correct, bins)
+    out = b.groupBy(*keys, "stratum").agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"), F.count("*").alias("__b"))
+    return out.withColumn("ece_strict", F.when(F.col("__b") == bins, F.col("ece"))).drop("__b")

@@ -351,3 +351,33 @@ def a40_harmonic_mean(spark, sf_dir):
 @query("""SELECT user_id, event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS p FROM events GROUP BY user_id, event_type""")
 def a42_alias_probabilities(spark, sf_dir):
     return rounded(metrics.crosstab_shares(table(spark, sf_dir, "events"), "user_id", "event_type").withColumnRenamed("share", "p"), "p")
+
+
+_LEN = "CASE WHEN fact % 3 = 0 THEN '1' WHEN fact % 3 = 1 THEN '2-3' ELSE '4+' END"
+
+
+@query(f"""WITH {LANGS_SQL}, b AS (SELECT seed, fact FROM facts WHERE lang = 'NO' AND correct = 1), x AS (SELECT seed, lang, fact, correct, {_LEN} AS bucket FROM facts WHERE lang <> 'NO'),
+p AS (SELECT seed, lang, bucket, avg(correct) AS p, count(*) AS n FROM x SEMI JOIN b USING (seed, fact) GROUP BY ALL),
+g AS (SELECT l.seed, l.lang, k.bucket FROM (SELECT DISTINCT seed, lang FROM x) l, (SELECT unnest(['1', '2-3', '4+', '9+']) AS bucket) k)
+SELECT lang, bucket, round(avg(p), 6) AS p_mean, round(stddev_samp(p), 6) AS p_std, round(avg(coalesce(n, 0)), 6) AS n FROM g LEFT JOIN p USING (seed, lang, bucket) GROUP BY ALL""")
+def a16_transfer_by_bucket(spark, sf_dir):
+    k = F.col("fact") % 3
+    x = language_facts(spark, sf_dir).withColumn("bucket", F.when(k == 0, "1").when(k == 1, "2-3").otherwise("4+"))
+    return rounded(metrics.transfer_by_bucket(x, ["fact"], "lang", "NO", [], "seed", "bucket", ["1", "2-3", "4+", "9+"]), "p_mean", "p_std", "n")
+
+
+@query("""WITH facts AS (SELECT l_orderkey AS fact, l_returnflag AS lang, max(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END) AS correct, l_orderkey % 3 AS seed FROM lineitem GROUP BY ALL),
+w AS (SELECT seed, fact FROM facts GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT l_returnflag) FROM lineitem)), f AS (SELECT * FROM facts SEMI JOIN w USING (seed, fact)),
+j AS (SELECT a.seed, a.lang AS lang_a, b.lang AS lang_b, sum(a.correct * b.correct) / nullif(sum(greatest(a.correct, b.correct)), 0) AS jaccard FROM f a JOIN f b ON a.seed = b.seed AND a.fact = b.fact AND a.lang < b.lang GROUP BY ALL)
+SELECT lang_a, lang_b, round(avg(jaccard), 6) AS jaccard_mean FROM j GROUP BY ALL""")
+def a18_complete_jaccard(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("fact"), F.col("l_returnflag").alias("lang")).agg(F.max(F.when(F.col("l_discount") >= 0.05, 1).otherwise(0)).alias("correct"))
+    return rounded(metrics.complete_jaccard(x.withColumn("seed", F.col("fact") % 3), "fact", "lang", [], "seed"), "jaccard_mean")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS grp, (l_partkey % 100) / 100.0 AS confidence, CASE WHEN l_tax >= 0.04 THEN 1 ELSE 0 END AS correct, unnest(['all', CASE WHEN l_linenumber <= 1 THEN 'single' ELSE 'multi' END]) AS stratum FROM lineitem),
+b AS (SELECT grp, stratum, least(floor(CAST(confidence AS DOUBLE) * 10), 9) AS bin, count(*) AS n, avg(CAST(confidence AS DOUBLE)) AS c, avg(correct) AS a FROM c GROUP BY ALL)
+SELECT grp, stratum, round(sum(n * abs(c - a)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 10 THEN round(sum(n * abs(c - a)) / sum(n), 6) END AS ece_strict FROM b GROUP BY ALL""")
+def a26_ece_by_stratum(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), ((F.col("l_partkey") % 100) / 100.0).alias("confidence"), F.when(F.col("l_tax") >= 0.04, 1).otherwise(0).alias("correct"), "l_linenumber")
+    return rounded(stats.calibration_by_stratum(x, ["grp"], "confidence", "correct", "l_linenumber"), "ece", "ece_strict")
