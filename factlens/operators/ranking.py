@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import numbered_within
+
 
 def argmax_first(df: DataFrame, keys: list[str], score: str | Column, order: str, keep: list[str]) -> DataFrame:
     """The row with the highest score of each group, the first by order among equals. A group limit of one row cuts the groups before they are shuffled."""
@@ -22,7 +24,7 @@ def dedupe_candidates(df: DataFrame, group: str, tokens: str, order: str, cap: i
     x = df.where(F.size(tokens) <= cap) if cap else df
     first = Window.partitionBy(group, tokens).orderBy(order)
     x = x.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-    return x.withColumn("index", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    return numbered_within(x, [group], [order], "index").withColumn("index", F.col("index") - 1)
 
 
 def drop_duplicates_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
+from .running import numbered_within, running
 
 
 def shuffled(seed: int | str, *keys: str | Column) -> Column:
@@ -24,8 +25,7 @@ def largest_remainder(totals: DataFrame, key: str, count: str, budget: int) -> D
 
 def stratified_split(df: DataFrame, stratum: str, key: str, seed: int | str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """part: of each stratum's n rows in hashed order the first floor(n * train) train, the next floor(n * val) val, the rest test."""
-    w = Window.partitionBy(stratum)
-    x = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(shuffled(seed, key), key)))
+    x = numbered_within(df.withColumn("__h", shuffled(seed, key)), [stratum], ["__h", key], "__r", "__n").drop("__h")
     a, b = F.floor(F.col("__n") * F.lit(float(train))), F.floor(F.col("__n") * F.lit(float(val)))
     return x.withColumn("part", F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "val").otherwise("test")).drop("__n", "__r")
 
@@ -38,25 +38,24 @@ def random_split(df: DataFrame, key: str, seed: int | str, val: float, buckets:
 
 def take_quota(df: DataFrame, stratum: str, key: str, quotas: DataFrame, seed: int | str) -> DataFrame:
     """Each stratum's first rows in hashed order, up to its quota."""
-    w = Window.partitionBy(stratum).orderBy(shuffled(seed, key), key)
-    return df.withColumn("__r", F.row_number().over(w)).join(quotas.select(stratum, "quota"), stratum).where("__r <= quota").drop("__r", "quota")
+    x = numbered_within(df.withColumn("__h", shuffled(seed, key)), [stratum], ["__h", key], "__r").drop("__h")
+    return x.join(quotas.select(stratum, "quota"), stratum).where("__r <= quota").drop("__r", "quota")
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, seed: int | str, hands: list[str]) -> DataFrame:
     """Deals rows to hands with one counter that runs on over the strata. The counter is the stratum's offset (from one row a
-    stratum) plus the place in it, so no task sees more than a stratum."""
+    stratum) plus the place in it; a large stratum is numbered by many tasks."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("__n"))
     before = Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(stratum, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    w = Window.partitionBy(stratum).orderBy(shuffled(seed, key), key)
-    x = df.withColumn("__r", F.row_number().over(w) - 1).join(sizes, stratum)
+    x = numbered_within(df.withColumn("__h", shuffled(seed, key)), [stratum], ["__h", key], "__r").drop("__h").withColumn("__r", F.col("__r") - 1).join(sizes, stratum)
     return x.withColumn("hand", F.element_at(F.array(*[F.lit(h) for h in hands]), (F.pmod(F.col("__o") + F.col("__r"), F.lit(len(hands))) + 1).cast("int"))).drop("__r", "__o")
 
 
 def balanced_batches(df: DataFrame, lang: str, key: str, seed: int | str, per_lang: int) -> DataFrame:
     """batch numbers with per_lang rows of every language; what does not fill a batch in each language is left out."""
-    w = Window.partitionBy(lang).orderBy(shuffled(seed, key), key)
-    x = df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / per_lang).cast("int"))
+    x = numbered_within(df.withColumn("__h", shuffled(seed, key)), [lang], ["__h", key], "__r").drop("__h")
+    x = x.withColumn("batch", F.floor((F.col("__r") - 1) / per_lang).cast("int")).drop("__r")
     least = df.groupBy(lang).agg(F.floor(F.count("*") / per_lang).alias("__b")).agg(F.min("__b").alias("__b"))  # one row
     return x.crossJoin(F.broadcast(least)).where("batch < __b").drop("__b")
 
@@ -86,9 +85,8 @@ def weighted_sample(df: DataFrame, group: list[str], key: str, weight: str, n: i
 
 def first_examples(df: DataFrame, keys: list[str], order: str, usable: Column, n: int) -> DataFrame:
     """The first n usable rows of each group by order: nth (from 1), and how many unusable rows came before."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    one = usable.cast("int")
-    x = df.withColumn("__u", one).withColumn("nth", F.sum("__u").over(w).cast("int")).withColumn("skipped", F.sum(1 - F.col("__u")).over(w))
+    x = df.withColumn("__u", usable.cast("int"))
+    x = running(x, keys, [order], {"nth": F.col("__u"), "skipped": 1 - F.col("__u")}).withColumn("nth", F.col("nth").cast("int"))
     return x.where((F.col("__u") == 1) & (F.col("nth") <= n)).drop("__u")
 
 

@@ -175,3 +175,25 @@ def test_more_formats(spark, tmp_path):
     assert read("objects") == ["Q2\tP1\tQ4 Q5", "Q10\tP1\tQ3", "Q1\tP2\tQ9"]
     writers.aligned_texts(spark.createDataFrame([(i, f"a{i}", None if i == 3 else f"b{i}") for i in range(20)], "i int, a string, b string"), f"{tmp_path}/five", ["a", "b"], ["i"])
     assert [x[1:] for x in read("five/a")] == [str(i) for i in range(20)] and [x[1:] for x in read("five/b")] == [str(i) if i != 3 else "" for i in range(20)]
+
+
+def test_running_sums_in_groups_of_any_size(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from factlens.operators.running import running
+
+    r = random.Random(1)
+    rows = [(r.choice(["a", "a", "a", "a", "b", None]), i, r.randrange(5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    out = running(df, ["k"], [F.col("i").desc()], {"n": F.lit(1), "s": F.col("v")}, {"s": "all"}).collect()
+    want, total = {}, {}
+    for k in ("a", "b", None):
+        n = s = 0
+        for _, i, v in sorted((x for x in rows if x[0] == k), key=lambda x: -x[1]):
+            n, s = n + 1, s + v
+            want[i] = (n, s)
+        total[k] = s
+    assert len(out) == 3000 and all(want[x.i] == (x.n, x.s) and x["all"] == total[x.k] for x in out)
+    assert running(df.limit(0), ["k"], ["i"], {"n": F.lit(1)}).count() == 0
