@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, maxscore, media, near, packing, pieces, sharding, simple8b, substring, toxicity
+from . import html_text, maxscore, media, near, packing, pieces, sharding, simple8b, substring, toxicity, trie
 from .common import documents, id_crc
 from .tokens import vocabulary_path
 
@@ -57,7 +57,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html, op4_maxscore, op5_substring, op6_media, op7_sharding, op8_simple8b, op9_near, op10_sentencepiece)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html, op4_maxscore, op5_substring, op6_media, op7_sharding, op8_simple8b, op9_near, op10_sentencepiece, op13_trie)}
 
 SQL: dict[str, str] = {
     "op4_maxscore": """
@@ -87,5 +91,22 @@ x AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || list_tran
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM x),
 s AS (SELECT *, CAST(least(15, ((before * 2 + size) * 16) // (total * 2)) AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+""",
+    "op13_trie": """
+WITH t AS (SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) r(n)),
+turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce("text", '') AS txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce("text", ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c FROM turns),
+h AS (SELECT c, xor(4294967295, list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(CAST(c AS VARCHAR))), '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(t.crc[(xor(c, b) & 255) + 1], c >> 8))) % 6 AS h FROM ids, t),
+parts AS (
+  SELECT h.c, 0 AS part, i, role, txt FROM h JOIN turns ON turns.c = h.c - h.c % 100 AND i < h
+  UNION ALL SELECT h.c, 1, i, role, txt FROM h JOIN turns ON turns.c = h.c AND i >= h),
+seqs AS (SELECT ids.c, coalesce(x, []) AS x FROM ids LEFT JOIN (SELECT c, list({'r': role, 't': txt} ORDER BY part, i) AS x FROM parts GROUP BY c) s ON s.c = ids.c),
+pre AS (SELECT c, d, x[:d] AS p, d = len(x) AS is_end FROM (SELECT c, x, unnest(range(0, len(x) + 1)) AS d FROM seqs)),
+nodes AS (SELECT min(c) AS conv_id, d AS depth, p, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(p)[d].t) END AS saved FROM pre GROUP BY d, p),
+kids AS (SELECT depth - 1 AS depth, p[:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+family AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.depth = nodes.depth AND kids.p = nodes.p),
+below AS (SELECT u.depth, u.p, sum(f.saved) AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves FROM (SELECT unnest(range(0, depth + 1)) AS up, * FROM family) f JOIN nodes u ON u.depth = f.up AND u.p = f.p[:f.up] GROUP BY ALL)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM family f JOIN below b ON b.depth = f.depth AND b.p = f.p LEFT JOIN nodes q ON q.depth = f.depth - 1 AND q.p = f.p[:f.depth - 1]
 """,
 }
