@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, maxscore, media, near, packing, pieces, sharding, simple8b, substring, toxicity, trie
+from . import html_text, maxscore, media, near, packing, pieces, quality, ranked, sharding, simple8b, substring, toxicity, trie
 from .common import documents, id_crc
 from .tokens import vocabulary_path
 
@@ -57,11 +57,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html, op4_maxscore, op5_substring, op6_media, op7_sharding, op8_simple8b, op9_near, op10_sentencepiece, op13_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_html, op4_maxscore, op5_substring, op6_media, op7_sharding, op8_simple8b, op9_near, op10_sentencepiece, op11_ranked, op12_quality, op13_trie)}
 
 SQL: dict[str, str] = {
     "op4_maxscore": """
@@ -91,6 +102,16 @@ x AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || list_tran
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM x),
 s AS (SELECT *, CAST(least(15, ((before * 2 + size) * 16) // (total * 2)) AS INTEGER) AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+""",
+    "op11_ranked": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS t FROM documents),
+items AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_all FROM docs WHERE len(t) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM docs) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY term, n_docs),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_all)))) AS BIGINT) AS score FROM items JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
 """,
     "op13_trie": """
 WITH t AS (SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc FROM range(256) r(n)),

@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from ..operators.running import numbered_within, running
 from .common import dealt_join, importable, written
 
-#: Ids that are joined into one string before they go to the task that hashes their node's.
-CHUNK = 1 << 16
-
 
 def dense_names(rows: DataFrame, keys: list[str], name: str, carry: list[Column] | None = None) -> DataFrame:
     """keys, name, many (rows of that key) and the aggregates of carry, one row for each distinct key: name counts the keys from 0, over the partitions that hold them."""
@@ -72,14 +69,11 @@ def prefix_names(turns: DataFrame) -> DataFrame:
 
 
 def _joiner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ids of a node that come one after the other, as one string; at most CHUNK to a row."""
+    """Ids of a node that come one after the other in a batch, as one string."""
     for batch in batches:
         change = (batch["depth"].diff().ne(0) | batch["name"].diff().ne(0)).cumsum()
-        out = []
-        for _, g in batch.groupby(change, sort=False):
-            ids = g["conv"].tolist()
-            out += [(g["depth"].iloc[0], g["name"].iloc[0], ids[i], ",".join(map(str, ids[i : i + CHUNK]))) for i in range(0, len(ids), CHUNK)]
-        yield pd.DataFrame(out, columns=["depth", "name", "first", "ids"])
+        runs = batch.assign(ids=batch["conv"].astype(str)).groupby(change, sort=False)
+        yield runs.agg(depth=("depth", "first"), name=("name", "first"), first=("conv", "first"), ids=("ids", ",".join))
 
 
 def _hasher(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
