@@ -100,7 +100,10 @@ def test_search_leaves_clusters_out(spark):
     asked = np.array(sorted(voc[t] for t in (b"topic3", b"w250", b"w299")))
     item = ranked.Item(0, asked, np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in asked]))
     shards = [ranked._Shard(r) for r in index.collect()]
-    done = [ranked.visit(s, item, 1, 10)[1] for s in shards]
+    bound = lambda s: int((s.best[item.found(s.terms)[0]] * item.found(s.terms)[1]).sum())
+    shards.sort(key=lambda s: -bound(s))
+    best, first = ranked.visit(shards[0], item, 1, 10)
+    done = [first] + [ranked.visit(s, item, -best[-1][0], 10)[1] for s in shards[1:] if bound(s) >= -best[-1][0]]
     assert sum(done) < sum(len(s.ids) // ranked.CLUSTER + 1 for s in shards) / 2
 
 
