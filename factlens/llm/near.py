@@ -8,11 +8,18 @@ tested or become of one class, whatever the size of the group:
 
 1. each node is tested against the smallest node of all its keys, and against the one that is the smallest of most of its
    keys; this joins most of a large group at two tests a node;
-2. all pairs that are left, in rounds: of every two classes that share a key the likeliest pair, then the 64 likeliest, then
-   all, until each pair is tested or of one class. Pairs that the word counts rule out (by length, or by the words that both have in
-   each of BAGS hash groups) need no alignment. Groups of more than SMALL nodes are cut into blocks, and every block meets
-   every block. The word counts that are compared here grow with the square of a group that holds many classes, what is
-   written and aligned with the pairs of classes that may be similar.
+2. in up to HUBS rounds a node of each key, drawn by a hash, is its hub. Of the pairs of a node and a hub of its keys that are of different
+   classes, each class has its two likeliest tested. So a large group is one class before pairs inside it are counted, at a few tests a class;
+3. all pairs that are left, in rounds: the two likeliest of each class, while a quarter of these are links; the likeliest of
+   every two classes that share a key; then every pair that is not tested and not of one class. Pairs that the word counts rule out (by length, or by the words that both have in
+   each of BAGS hash groups) need no alignment.
+
+Keys that more than CROWD nodes share (a licence, a site's template) say little, and their pairs would grow with the square of the crowd.
+Their nodes meet by rare words instead: texts of n words that are similar have at least n - floor((1 - SIMILARITY) * n) words in common, a
+word's second occurrence counting as another word. So in any one order of all words each has one of these among its first floor((1 - SIMILARITY) * n) + 1.
+The order is by how many of the crowd's texts have a word, rarest first: the words of what a crowd shares come last and pair nothing. This loses
+no link, in whatever order. Groups of more than SMALL nodes are compared in one task, those of more than SIDE in blocks, every block with every
+block.
 
 So a link is missed only if its texts share no key. A pair is verified by alignment: edit similarity 1 - d / max(n, m) over
 words of at least SIMILARITY. Word, pair and triple counts rule out what cannot reach it; k-mers that are unique in both texts
@@ -30,13 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dealt_join, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
-SMALL, SIDE, BAGS = 16, 1024, 256  # none changes a class
+SMALL, CROWD, SIDE, BAGS, SLOTS, HUBS = 16, 1024, 4096, 256, 1 << 17, 4  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -226,7 +233,10 @@ def _chain(pa: np.ndarray, pb: np.ndarray) -> list[tuple[int, int]]:
 
 
 def similar(a: str | None, b: str | None, least: float = SIMILARITY) -> bool:
-    x, y = word_hashes((a or "").split()), word_hashes((b or "").split())
+    return _alike(word_hashes((a or "").split()), word_hashes((b or "").split()), least)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     longest = max(len(x), len(y))
     most = int((1 - least) * longest + 1e-9)
     return longest > 0 and edit_distance(x, y, most) <= most
@@ -250,7 +260,12 @@ def _sketcher(bands: int, pick: int, k: int):
 def _verifier(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [similar(a, b, least) for a, b in zip(batch["text_a"], batch["text_b"], strict=True)]
+            at: dict = {}  # each text's words are hashed once a batch
+            for side in ("a", "b"):
+                for node, text in zip(batch[side], batch[f"text_{side}"], strict=True):
+                    if node not in at:
+                        at[node] = word_hashes(text.split())
+            ok = [_alike(at[a], at[b], least) for a, b in zip(batch["a"], batch["b"], strict=True)]
             yield batch.loc[:, ["a", "b"]].assign(linked=ok)
 
     return run
@@ -264,8 +279,51 @@ def _bagger(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": batch["node"].to_numpy(), "n": [len(h) for h in hashes], "bag": bags})
 
 
+def _slot_counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts a labelled word of each slot stands: one row a task."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for text in batch["text"]:
+            counts += np.bincount((_labelled(word_hashes(text.split())) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    yield pd.DataFrame({"counts": [counts.tobytes()]})
+
+
+def _adder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for c in batch["counts"]:
+            counts += np.frombuffer(c, np.int64)
+    yield pd.DataFrame({"counts": [counts.tobytes()]})
+
+
+def rarest_words(h: np.ndarray, counts: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Of the labelled words of a text (h: its words' hashes) so many, rarest first by the counts of their slots, that two similar texts share one."""
+    labelled = _labelled(h)
+    order = np.lexsort((labelled, counts[(labelled % np.uint64(len(counts))).astype(np.int64)]))
+    return labelled[order[: int((1 - least) * len(h) + 1e-9) + 1]].view(np.int64)
+
+
+def _rare_word_rows(counts: np.ndarray, least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                words = [rarest_words(word_hashes(t.split()), counts, least) for t in part["text"]]
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), [len(w) for w in words]), "bucket": np.concatenate(words)})
+
+    return run
+
+
+def by_rare_words(texts: DataFrame, least: float) -> DataFrame:
+    """node, bucket (a rare word) of texts (node, text). What comes to the driver and goes to the tasks is one count a slot."""
+    kind = texts.schema["node"].dataType.simpleString()
+    sums = texts.mapInPandas(_slot_counter, "counts binary").repartition(8).mapInPandas(_adder, "counts binary").collect()  # 8 rows
+    counts = np.sum([np.frombuffer(r["counts"], np.int64) for r in sums], axis=0)
+    return texts.mapInPandas(_rare_word_rows(counts, least), f"node {kind}, bucket long")
+
+
 def _sifter(least: float):
-    """The pairs that could be similar by their word counts."""
+    """The pairs that could be similar by their word counts, and the least share of edits that these leave."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -274,7 +332,8 @@ def _sifter(least: float):
             most = ((1 - least) * longest + 1e-9).astype(np.int64)
             full = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # such a group may hold more
             ok = (longest - shortest <= most) & ((longest - np.minimum(a, b).sum(axis=1, dtype=np.int64) <= most) | full)
-            yield x.loc[ok, ["a", "b"]].assign(more=False)
+            open_ = (longest - np.minimum(a, b).sum(axis=1, dtype=np.int64)) / np.maximum(longest, 1)
+            yield x.loc[ok, ["a", "b"]].assign(open=open_[ok])
 
     return run
 
@@ -311,12 +370,13 @@ def _crosser(least: float, take: int):
                 found.append(np.stack([np.full(int(keep.sum()), i), at[keep], left[keep], np.where(nth == 0, np.repeat(size, size), 0)[keep]], axis=1))
         x = pd.DataFrame(np.concatenate(found), columns=["i", "j", "left", "many"])
         x["p"], x["q"] = np.minimum(label[x["i"]], label[x["j"]]), np.maximum(label[x["i"]], label[x["j"]])
+        x["open"] = x["left"] / np.maximum(n[x["i"]], n[x["j"]])
         x = x.sort_values(["left", "i", "j"], kind="stable")
         classes = x.groupby(["p", "q"])
         x = x.assign(nth=classes.cumcount(), more=classes["many"].transform("sum") > take)
         x = x[x["nth"] < take]
         u, v = node[x["i"]], node[x["j"]]
-        return pd.DataFrame({"a": np.maximum(u, v), "b": np.minimum(u, v), "more": x["more"].to_numpy(bool)})
+        return pd.DataFrame({"a": np.maximum(u, v), "b": np.minimum(u, v), "open": x["open"].to_numpy(float), "more": x["more"].to_numpy(bool)})
 
     return run
 
@@ -383,33 +443,76 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     begun = components(first.where("linked"), "near-first")
     labels = written(every.join(begun, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-all")
     mixed = written(rows.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "near-mixed")
+    rows = rows.select("node", "bucket")
     if not mixed.isEmpty():
-        bags, take = None, 1
-        while True:  # the likeliest pair of every two classes that share a key, then up to 64 of them, then all
-            of = written(dealt_join(rows.join(labels, "node").select("node", "bucket", "label"), mixed.select("bucket"), "bucket", counts=counts), "near-of")
+        bags = dealt_join(rows, mixed, "bucket", counts=counts).select("node").distinct()
+        bags = written(texts.join(bags, "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
+
+        def sifted(pairs: DataFrame) -> DataFrame:
+            side = lambda c: bags.toDF(c, f"n_{c}", f"bag_{c}")
+            by_b = written(pairs.select("a", "b").distinct(), "near-sift")
+            return dealt_join(by_b, side("b"), "b").join(side("a"), "a").mapInPandas(_sifter(least), f"a {kind}, b {kind}, open double")
+
+        large = counts.where(F.col("many") > SMALL)
+        for salt in range(HUBS):
+            of = dealt_join(rows, large.select("bucket"), "bucket", counts=counts).join(labels, "node")
+            drawn = F.xxhash64(F.lit(salt), "node")
+            hub = of.groupBy("bucket").agg(F.min_by("node", drawn).alias("b"), F.min_by("label", drawn).alias("of_b"), F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high"))
+            hub = written(hub.where("low < high").select("bucket", "b", "of_b", "many"), "near-hubs")
+            large = hub.select("bucket", "many")
+            pairs = dealt_join(of, hub.drop("many"), "bucket", counts=counts).where("label <> of_b").select(F.col("node").alias("a"), "b")
+            some = written(sifted(pairs).join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti").join(labels.withColumnRenamed("node", "a"), "a"), "near-some")
+            best = F.row_number().over(Window.partitionBy("label").orderBy("open", "a", "b"))
+            some = some.withColumn("nth", best).where("nth <= 2").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            more = tested(some)
+            first = first.unionByName(more)
+            if more.where("linked").isEmpty():
+                break
+            labels = merged(labels, more.where("linked"), "near-more")
+        mixed = dealt_join(rows, mixed, "bucket", counts=counts).join(labels, "node").groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        mixed = written(mixed.select("bucket", "many"), "near-mixed")
+        crowded = written(mixed.where(F.col("many") > CROWD).select("bucket"), "near-crowded")  # few: each has more than CROWD rows
+        if not crowded.isEmpty():
+            crowd = dealt_join(rows, crowded, "bucket", counts=counts).select("node").distinct()
+            words = written(by_rare_words(written(texts.join(crowd, "node", "left_semi"), "near-crowd"), least), "near-words")
+            shared = words.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
+            mixed = written(mixed.where(F.col("many") <= CROWD).unionByName(shared), "near-mixed")
+            rows = written(rows.unionByName(words), "near-rows")
+            counts = written(rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "near-counts")
+        mixed, take, per_class = mixed.select("bucket"), 1, True
+        while True:  # the two likeliest pairs of each class, while a quarter are links; then the likeliest of every two classes; then all that are left
+            of = written(dealt_join(rows, mixed.select("bucket"), "bucket", counts=counts).join(labels, "node"), "near-of")
             mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
             mixed = written(mixed.select("bucket", "many"), "near-mixed")
             of = dealt_join(of, mixed, "bucket", counts=counts)
-            small = of.where(F.col("many") <= SMALL).drop("many")
-            small = small.toDF("bucket", "node", "label").join(small.toDF("bucket", "other", "lo"), "bucket").where("node > other AND label <> lo").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+            small = of.where(F.col("many") <= SMALL).select("bucket", "node", "label")
+            small = small.toDF("bucket", "a", "la").join(small.toDF("bucket", "b", "lb"), "bucket").where("a > b AND la <> lb")
+            small = sifted(small).withColumn("more", F.lit(False))
             large = of.where(F.col("many") > SMALL)
-            if bags is None:
-                bags = written(texts.join(of.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
-            side = lambda c: bags.toDF(c, f"n_{c}", f"bag_{c}")
-            small = small.join(side("a"), "a").join(side("b"), "b").mapInPandas(_sifter(least), f"a {kind}, b {kind}, more boolean")
             blocks = F.ceil(F.col("many") / SIDE)
             large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(bags, "node")
-            large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least, take), f"a {kind}, b {kind}, more boolean")
-            found = written(small.union(large).groupBy("a", "b").agg(F.max("more").alias("more")), "near-found")
-            left = written(found.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
-            if not left.isEmpty():
-                more = tested(left)
-                first, labels = first.unionByName(more), merged(labels, more.where("linked"), "near-more")
-            elif found.where("more").isEmpty():
+            large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least, take), f"a {kind}, b {kind}, open double, more boolean")
+            found = written(small.unionByName(large).groupBy("a", "b").agg(F.min("open").alias("open"), F.max("more").alias("more")), "near-found")
+            left = written(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
+            unseen = left.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
+            likely = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("open", "a", "b"))
+            if per_class:
+                sides = unseen.select("a", "b", "open", F.col("la").alias("l")).unionByName(unseen.select("a", "b", "open", F.col("lb").alias("l")))
+                chosen = sides.withColumn("nth", likely("l")).where("nth <= 2").select("a", "b").distinct()
+            elif take == 1:
+                chosen = unseen.withColumn("nth", likely(F.least("la", "lb"), F.greatest("la", "lb"))).where("nth = 1").select("a", "b")
+            else:
+                chosen = unseen.select("a", "b")
+            more = tested(chosen)
+            links = more.where("linked")
+            first, labels = first.unionByName(more), merged(labels, links, "near-more")
+            if per_class:
+                per_class = 0 < more.count() <= 4 * links.count()
+            elif take > 1:
                 break
             else:
-                take = 64 if take == 1 else 1 << 40
+                take = 1 << 40
     links = first.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = labels.join(degree, "node", "left")

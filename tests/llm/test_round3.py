@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from factlens.llm import quality, queries, ranked, trie
+from factlens.llm import near, quality, queries, ranked, trie
 
 DOCS = "doc_id long, text string, item string, score string, shard string, n string, part string"
 
@@ -94,10 +94,10 @@ def test_bisection_brings_like_documents_together():
 
 
 def test_search_leaves_clusters_out(spark):
-    docs = [(i, f"topic{i % 16} " * 3 + words(i, 30)) for i in range(2000)]
+    docs = [(i, " ".join(f"t{i % 16}x{v}" for v in random.Random(i).sample(range(30), 12)) + " common" * (1 + i % 9)) for i in range(2000)]
     voc = {t: i for i, t in enumerate(sorted({w for _, t in docs for w in ranked.terms_of(t)}))}
     index, n, _, df = ranked.build_index(docs_of(spark, docs).select("doc_id", "text"), voc)
-    asked = np.array(sorted(voc[t] for t in (b"topic3", b"w250", b"w299")))
+    asked = np.array(sorted(voc[t] for t in (b"t3x1", b"t3x2", b"t3x3", b"common")))
     item = ranked.Item(0, asked, np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in asked]))
     shards = [ranked._Shard(r) for r in index.collect()]
     bound = lambda s: int((s.best[item.found(s.terms)[0]] * item.found(s.terms)[1]).sum())
@@ -192,3 +192,60 @@ def test_trie(spark):
     assert trie.conversation_trie(df.limit(0)).count() == 0
     assert trie_rows(trie.conversation_trie(df.where("conv_id = 601"))) == brute_trie([t for t in turns if t[0] == 601])
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rare_words_lose_no_similar_pair_and_pair_no_crowd(spark):
+    r = random.Random(3)
+    shared = [f"licence{i}" for i in range(30)]
+
+    def crowd(n):
+        return [shared + [f"u{r.randrange(40_000)}" for _ in range(60)] for _ in range(n)]
+
+    def pairs(texts):
+        rows = near.by_rare_words(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string").repartition(3), near.SIMILARITY).collect()
+        of = {}
+        for x in rows:
+            of.setdefault(x.bucket, set()).add(x.node)
+        return {(a, b) for s in of.values() for a in s for b in s if a < b}
+
+    one, two = len(pairs(crowd(250))), len(pairs(crowd(500)))
+    assert two < 250 * 249 / 2 / 10 and two <= 5 * max(one, 20)
+    texts = crowd(40)
+    for t in crowd(40):  # like pairs at the edge: a fifth of the words changed, with repeats
+        t = t + ["the"] * r.randrange(20)
+        like = list(t)
+        for i in r.sample(range(len(like)), int(0.2 * len(like))):
+            like[i] = f"new{r.randrange(10_000)}"
+        texts += [t, like]
+    got = pairs(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            if near.similar(" ".join(texts[i]), " ".join(texts[j])):
+                assert (j, i) in got
+
+
+def test_a_crowd_with_a_common_passage_keeps_its_classes(spark, monkeypatch):
+    monkeypatch.setattr(near, "CROWD", 20)
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + words(i, 30, 5000)) for i in range(120)]
+    base = passage.split() + words(999, 60, 5000).split()
+    for i in range(60):  # a group of near copies in the crowd
+        t = list(base)
+        for k in r.sample(range(len(t)), r.randrange(3, 13)):
+            t[k] = f"e{r.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(t)))
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in rows:
+        for j, b in rows:
+            if j < i and near.similar(a, b):
+                x, y = top(i), top(j)
+                parent[max(x, y)] = min(x, y)
+    got = {x.doc_id: x.class_id for x in near.near_duplicate_classes(docs_of(spark, rows)).collect()}
+    assert got == {i: top(i) for i, _ in rows} and len(set(got.values())) < 150
