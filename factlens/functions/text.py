@@ -68,8 +68,13 @@ def require_filled(prompt: str | Column) -> Column:
     return F.when(p.rlike(r"\[[^\]]*[XY][^\]]*\]"), F.raise_error(F.concat(F.lit("unfilled: "), p))).otherwise(p)
 
 
-def ends_in_object(prompt: str | Column) -> Column:
-    return _c(prompt).rlike(r"\[[^\[\]]*Y[^\[\]]*\]\s*\.?\s*$")
+def ends_in_object(prompt: str | Column, last: str = ".") -> Column:
+    """The prompt is one slot of the object, from its first character on, then blanks at most and the character `last`."""
+    if len(last) != 1:
+        raise ValueError(f"one character, not {last!r}")
+    p = _c(prompt)
+    before = F.regexp_replace(F.substr(p, F.lit(1), F.char_length(p) - 1), r"(?U)\s+$", "")
+    return p.endswith(F.lit(last)) & before.rlike(r"(?d)^\[.*Y.*\]$")
 
 
 def merge_subwords(tokens: str | Column, mark: str = "##") -> Column:
@@ -88,13 +93,22 @@ def merge_subwords(tokens: str | Column, mark: str = "##") -> Column:
 
 
 def is_latin(value: str | Column) -> Column:
-    """All of its letters are Latin, and it has some."""
-    v = _c(value)
-    return v.rlike(r"\p{IsLatin}") & ~v.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+    """Some letter of it is Latin. The ordinal signs are of the Latin script, but no Latin letters by name."""
+    return _c(value).rlike(r"[\p{IsLatin}&&\p{L}&&[^ªº]]")
+
 
+def comparable(value: str | Column) -> Column:
+    """Compatibility forms and case folded, subword marks gone, runs of other than letters and digits one blank; null is empty."""
+    folded = casefold(normalize("NFKC")(F.coalesce(_c(value), F.lit(""))))
+    return collapse_punctuation(F.replace(folded, F.lit("##"), F.lit("")))
 
-def error_label(prediction: Column, subject: Column, least: int = 2) -> Column:
-    return F.when(F.size(F.split(prediction, " ")) < least, "non_informative").when(F.contains(prediction, subject), "subject_repetition")
+
+def error_label(greedy: Column, ranked: Column, subject: Column) -> Column:
+    """Of comparable texts: non_informative if the greedy answer has one character at most besides blanks; subject_repetition if it and the
+    subject hold one another, or the ranked answer is the subject; else empty."""
+    short = F.char_length(F.replace(greedy, F.lit(" "), F.lit(""))) <= 1
+    again = F.contains(subject, greedy) | F.contains(greedy, subject) | (ranked == subject)
+    return F.when(short, "non_informative").when((subject != "") & again, "subject_repetition").otherwise("")
 
 
 def gold_match(prediction: str | Column, golds: str | Column) -> Column:
@@ -104,15 +118,19 @@ def gold_match(prediction: str | Column, golds: str | Column) -> Column:
     return F.exists(_c(golds), lambda g: norm(g) == p)
 
 
-def malformed_inflection(base: str | Column, form: str | Column) -> Column:
-    """Not an inflection: another number of words, or a word that shares less than max(1, n - 3) letters at the start, or grows by over 4."""
-    a, b = F.split(_c(base), " "), F.split(_c(form), " ")
+def malformed_inflection(label: str | Column, form: str | Column) -> Column:
+    """The form changes more than endings. Without case and accents: it is not the label, and it has another number of words, or
+    one that keeps less than its first max(1, n - 3) letters or has over 4 more than the common start."""
+    one, two = (strip_accents(F.lower(_c(x))) for x in (label, form))
+    a, b = F.split(one, " ", -1), F.split(two, " ", -1)
+
+    def common_under(x: Column, y: Column, n: Column) -> Column:
+        return (n > 0) & ((F.char_length(x) < n) | (F.char_length(y) < n) | (F.substr(x, F.lit(1), n) != F.substr(y, F.lit(1), n)))
 
     def bad(x: Column, y: Column) -> Column:
-        need = F.greatest(F.lit(1), F.char_length(x) - 3)
-        return (F.substr(x, F.lit(1), need) != F.substr(y, F.lit(1), need)) | (F.char_length(y) - F.char_length(x) > 4)
+        return common_under(x, y, F.greatest(F.lit(1), F.char_length(x) - 3)) | common_under(x, y, F.char_length(y) - 4)
 
-    return (F.size(a) != F.size(b)) | F.exists(F.zip_with(a, b, lambda x, y: F.coalesce(bad(x, y), F.lit(True))), lambda v: v)
+    return (one != two) & ((F.size(a) != F.size(b)) | F.exists(F.zip_with(a, b, lambda x, y: F.coalesce(bad(x, y), F.lit(True))), lambda v: v))
 
 
 def sequence_score(log_probs: str | Column, mean: bool = False) -> Column:

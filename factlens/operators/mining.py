@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+from .running import numbered_within, running
+
 
 def mention_pairs(df: DataFrame, doc: str, mentions: str, ahead: int, gap: int) -> DataFrame:
     """Pairs of a mention and one of the next `ahead`, with 0 <= begin - end < gap. Within the row: no shuffle, no self-join.
@@ -83,22 +86,35 @@ def top_surface_form(df: DataFrame, keys: list[str], form: str, order: str) -> D
 
 
 def greedy_capped(df: DataFrame, path: str, entities: list[str], score: str, cap: int, limit: int) -> DataFrame:
-    """Within each path, by falling score: a row is taken unless one of its entities was taken `cap` times; `limit` rows at most.
-
-    Each choice depends on those before, so a path is one task; only ids and scores go there."""
-    import pandas as pd
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        keep = []
-        for row in pdf.sort_values([score, *entities], ascending=[False] + [True] * len(entities), kind="stable").itertuples():
-            names = [getattr(row, e) for e in entities]
-            if all(used.get(n, 0) < cap for n in names):
-                keep.append(row.Index)
-                for n in names:
-                    used[n] = used.get(n, 0) + 1
-                if len(keep) == limit:
-                    break
-        return pdf.loc[keep]
-
-    return df.select(path, *entities, score).groupBy(path).applyInPandas(choose, df.select(path, *entities, score).schema)
+    """Within each path, by falling score (then by the entities): a row is taken unless one of its entities was taken `cap` times; the first `limit` taken rows stay.
+
+    In rounds instead of row by row: an open row is surely taken if, for each of its entities, the open rows before it cannot use up what
+    is left of the cap. Rows that an entity without rest has are out, and so are those after the `limit`th taken one. The first open row of each
+    path is taken in every round, so it ends, with the rows of the serial rule. Counts run over ranges (see running), so a path or an entity with most of the rows is dealt over tasks.
+    A null is an entity like any other; one that a row names twice is used twice."""
+    rows = numbered_within(df.select(path, *entities, score), [path], [F.col(score).desc(), *entities], "__pos")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    rows = written(rows.withColumn("__path", text(path)), "greedy-rows")
+    uses = rows.select("__path", "__pos", F.explode(F.array(*[text(e) for e in entities])).alias("__name")).groupBy("__path", "__pos", "__name").agg(F.count("*").alias("__w"))
+    uses = open_ = written(uses, "greedy-uses")
+    key, taken = ["__path", "__pos"], None
+    while not open_.isEmpty():
+        x = running(open_, ["__path", "__name"], ["__pos"], {"__run": F.col("__w")})
+        if taken is None:
+            x = x.withColumn("__left", F.lit(cap))
+        else:
+            used = uses.join(taken, key, "left_semi").groupBy("__path", "__name").agg(F.sum("__w").alias("__used"))
+            x = x.join(used, ["__path", "__name"], "left").withColumn("__left", F.lit(cap) - F.coalesce("__used", F.lit(0)))
+        state = x.groupBy(*key).agg(F.min(F.col("__run") - F.col("__w") < F.col("__left")).alias("__sure"), F.min(F.col("__left") > 0).alias("__free"))
+        state = written(state.where("__free"), "greedy-state")
+        more = state.where("__sure").select(*key)
+        taken = written(more if taken is None else taken.unionByName(more), "greedy-taken")
+        nth = F.row_number().over(Window.partitionBy("__path").orderBy("__pos"))
+        taken = written(taken.withColumn("__n", nth).where(F.col("__n") <= limit), "greedy-first")
+        last = taken.where(F.col("__n") == limit).select("__path", F.col("__pos").alias("__last"))  # at most a row a path
+        taken = taken.drop("__n")
+        rest = state.where("NOT __sure").select(*key).join(last, "__path", "left").where("__last IS NULL OR __pos < __last")
+        open_ = written(open_.join(rest, key, "left_semi"), "greedy-open")
+    if taken is None:
+        return rows.select(path, *entities, score).limit(0)
+    return rows.join(taken, key, "left_semi").select(path, *entities, score)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def with_labels(facts: DataFrame, labels: DataFrame, langs: list[str], sub: str = "sub_uri", obj: str = "obj_uri") -> DataFrame:
     """sub_<lang> and obj_<lang> for each language, null where there is no label. labels: entity, lang, label.
@@ -58,13 +60,28 @@ def reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("reason", out)
 
 
-def resolve_redirects(ids: DataFrame, redirects: DataFrame, key: str, hops: int = 3) -> DataFrame:
-    """target: where the redirects lead from key, after `hops` at most. redirects: source, target."""
-    out = ids.withColumn("target", F.col(key))
-    for _ in range(hops):
-        hop = redirects.select(F.col("source").alias("target"), F.col("target").alias("__n"))
-        out = out.join(hop, "target", "left").select(*[c for c in out.columns if c != "target"], F.coalesce("__n", "target").alias("target"))
-    return out
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """source, target (where its chain of redirects ends), looped (it never ends; then the target is the source itself). Of several targets of a source the smallest counts.
+
+    By pointer doubling: each round every pointer takes its target's pointer, so chains of any length take as many rounds as their length has binary
+    digits. Of chains that end, the longest open ones end in the next round; when a round ends none, all that are open run in circles."""
+    at = written(redirects.where("source IS NOT NULL AND target IS NOT NULL").groupBy("source").agg(F.min("target").alias("target")), "redirects")
+    origin, was = at.select("source"), -1
+    while True:
+        open_ = at.join(origin.withColumnRenamed("source", "target"), "target", "left_semi").count()
+        if open_ in (0, was):
+            break
+        was = open_
+        hop = at.select(F.col("source").alias("target"), F.col("target").alias("__next"))
+        at = written(at.join(hop, "target", "left").select("source", F.coalesce("__next", "target").alias("target")), "redirects")
+    loops = origin.select(F.col("source").alias("target"), F.lit(True).alias("looped"))
+    return at.join(loops, "target", "left").select("source", F.when(F.col("looped"), F.col("source")).otherwise(F.col("target")).alias("target"), F.coalesce("looped", F.lit(False)).alias("looped"))
+
+
+def resolve_redirects(ids: DataFrame, redirects: DataFrame, key: str) -> DataFrame:
+    """target: where the redirects lead from key, however many there are, key itself without any; reason: loop where they never end, else null. redirects: source, target."""
+    ends = redirect_ends(redirects).select(F.col("source").alias(key), F.col("target").alias("__t"), F.when(F.col("looped"), "loop").alias("reason"))
+    return ids.join(ends, key, "left").withColumn("target", F.coalesce("__t", key)).drop("__t")
 
 
 def two_system_classes(a: DataFrame, b: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:

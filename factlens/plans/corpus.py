@@ -76,11 +76,16 @@ def a63_load_reasons(spark, sf_dir):
     return x.groupBy("relation", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT c_custkey AS s, c_custkey // 2 AS t FROM customer WHERE c_custkey % 4 = 0), h1 AS (SELECT o_orderkey, coalesce(t, o_custkey) AS a FROM orders LEFT JOIN r ON o_custkey = s),
-h2 AS (SELECT o_orderkey, coalesce(t, a) AS a FROM h1 LEFT JOIN r ON a = s) SELECT o_orderkey, coalesce(t, a) AS target FROM h2 LEFT JOIN r ON a = s""")
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS s, CASE WHEN c_custkey % 20 IN (3, 7) THEN c_custkey + CASE c_custkey % 20 WHEN 3 THEN 4 ELSE 10 END WHEN c_custkey % 20 = 17 THEN c_custkey - 10 ELSE c_custkey // 2 END AS t FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 20 IN (3, 7, 17)),
+walk AS (SELECT DISTINCT o_custkey AS k, o_custkey AS place, [o_custkey] AS seen, false AS looped FROM orders
+  UNION ALL SELECT k, t, seen || [t], list_contains(seen, t) FROM walk JOIN r ON r.s = walk.place WHERE NOT looped),
+done AS (SELECT k, arg_max(place, len(seen)) AS place, bool_or(looped) AS looped FROM walk GROUP BY k)
+SELECT o_orderkey, CASE WHEN looped THEN k ELSE place END AS target, CASE WHEN looped THEN 'loop' END AS reason FROM orders JOIN done ON k = o_custkey""")
 def j25_redirects(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("source"), F.expr("c_custkey div 2").alias("target"))
-    return resolve.resolve_redirects(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), r, "o_custkey").select("o_orderkey", "target")
+    c = F.col("c_custkey")
+    target = F.when(c % 20 == 3, c + 4).when(c % 20 == 7, c + 10).when(c % 20 == 17, c - 10).otherwise(F.expr("c_custkey div 2"))
+    r = table(spark, sf_dir, "customer").where((c % 4 == 0) | (c % 20).isin(3, 7, 17)).select(c.alias("source"), target.alias("target"))
+    return resolve.resolve_redirects(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), r, "o_custkey").select("o_orderkey", "target", "reason")
 
 
 @query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT max(event_type) FROM events))
@@ -189,9 +194,46 @@ def f8_mask_run(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.set_masks(F.lit("a [MASK] [MASK] b"), (1 + F.col("o_orderkey") % 4).cast("int")).alias("prompt"))
 
 
-@query("""SELECT doc_id, CASE WHEN len(string_split(text, ' ')) < 10 THEN 'non_informative' WHEN contains(text, lang) THEN 'subject_repetition' END AS label FROM documents""")
+_ANSWERS = """x AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_name || ' of ' || n_name WHEN 1 THEN '##' || lower(n_name) WHEN 2 THEN '- ' || (c_custkey % 10) || ' .' WHEN 3 THEN substr(n_name, 1, 3) WHEN 4 THEN c_mktsegment ELSE '' END AS greedy,
+  CASE WHEN c_custkey % 5 = 0 THEN '  ' || upper(n_name) || '!' ELSE c_mktsegment END AS ranked, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE n_name END AS subject FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_COMPARABLE = "trim(regexp_replace(replace(lower({0}), '##', ''), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH {_ANSWERS}, y AS (SELECT c_custkey, {_COMPARABLE.format("greedy")} AS g, {_COMPARABLE.format("ranked")} AS r, {_COMPARABLE.format("subject")} AS s FROM x)
+SELECT c_custkey, CASE WHEN length(replace(g, ' ', '')) <= 1 THEN 'non_informative' WHEN s <> '' AND (strpos(s, g) > 0 OR strpos(g, s) > 0 OR r = s) THEN 'subject_repetition' ELSE '' END AS label FROM y""")
 def f35_error_label(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.error_label(F.col("text"), F.col("lang"), 10).alias("label"))
+    k, n = F.col("c_custkey"), F.col("n_name")
+    greedy = F.when(k % 6 == 0, F.concat("c_name", F.lit(" of "), n)).when(k % 6 == 1, F.concat(F.lit("##"), F.lower(n))).when(k % 6 == 2, F.concat(F.lit("- "), (k % 10).cast("string"), F.lit(" .")))
+    greedy = greedy.when(k % 6 == 3, F.substr(n, F.lit(1), F.lit(3))).when(k % 6 == 4, F.col("c_mktsegment")).otherwise("")
+    ranked = F.when(k % 5 == 0, F.concat(F.lit("  "), F.upper(n), F.lit("!"))).otherwise(F.col("c_mktsegment"))
+    x = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    x = x.select(k, T.comparable(greedy).alias("g"), T.comparable(ranked).alias("r"), T.comparable(F.when(k % 11 != 0, n)).alias("s"))
+    return x.select("c_custkey", T.error_label(F.col("g"), F.col("r"), F.col("s")).alias("label"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_name AS label, CASE p_partkey % 7 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || 'en' WHEN 2 THEN p_name || 'abcde' WHEN 3 THEN substr(p_name, 1, length(p_name) - 2) || 'xyz' WHEN 4 THEN p_name || ' x' WHEN 5 THEN 'é' || substr(p_name, 2) ELSE substr(p_name, 1, 1) || substr(p_name, 6) END AS form FROM part),
+w AS (SELECT *, string_split(strip_accents(lower(label)), ' ') AS a, string_split(strip_accents(lower(form)), ' ') AS b FROM x),
+z AS (SELECT *, list_transform(list_zip(a, b), lambda p: len(list_filter(range(1, length(p[1]) + 1), lambda i: length(p[2]) >= i AND substr(p[1], 1, i) = substr(p[2], 1, i)))) AS same FROM w)
+SELECT p_partkey, form, a <> b AND (len(a) <> len(b) OR len(list_filter(range(1, len(a) + 1), lambda i: same[i] < greatest(1, length(a[i]) - 3) OR length(b[i]) - same[i] > 4)) > 0) AS malformed FROM z""")
+def p19_malformed_inflection(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_name")
+    form = F.when(k % 7 == 0, F.upper(n)).when(k % 7 == 1, F.concat(n, F.lit("en"))).when(k % 7 == 2, F.concat(n, F.lit("abcde"))).when(k % 7 == 3, F.concat(F.substr(n, F.lit(1), F.char_length(n) - 2), F.lit("xyz")))
+    form = form.when(k % 7 == 4, F.concat(n, F.lit(" x"))).when(k % 7 == 5, F.concat(F.lit("é"), F.substr(n, F.lit(2)))).otherwise(F.concat(F.substr(n, F.lit(1), F.lit(1)), F.substr(n, F.lit(6))))
+    x = table(spark, sf_dir, "part").select("p_partkey", n, form.alias("form"))
+    return x.select("p_partkey", "form", T.malformed_inflection("p_name", "form").alias("malformed"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(translate(strip_accents(lower(coalesce(text, ''))), 'ßæœøđłªº', 'szzzzz'), ''), lambda c: c BETWEEN 'a' AND 'z')) > 0 AS latin FROM documents""")
+def f14_is_latin(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_latin(F.coalesce("text", F.lit(""))).alias("latin"))
+
+
+@query("""WITH x AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '[Y].' WHEN 1 THEN '[' || c_name || ';Y;' || c_mktsegment || '] .' WHEN 2 THEN '[X] is [Y].' WHEN 3 THEN 'in [Y].' ELSE '[Y]' END AS prompt FROM customer)
+SELECT c_custkey, prompt, right(prompt, 1) = '.' AND regexp_matches(rtrim(left(prompt, length(prompt) - 1)), '^\\[.*Y.*\\]$') AS at_end FROM x""")
+def f12_ends_in_object(spark, sf_dir):
+    k = F.col("c_custkey")
+    prompt = F.when(k % 5 == 0, "[Y].").when(k % 5 == 1, F.concat(F.lit("["), "c_name", F.lit(";Y;"), "c_mktsegment", F.lit("] ."))).when(k % 5 == 2, "[X] is [Y].").when(k % 5 == 3, "in [Y].").otherwise("[Y]")
+    return table(spark, sf_dir, "customer").select(k, prompt.alias("prompt")).select("c_custkey", "prompt", T.ends_in_object("prompt").alias("at_end"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(-l_extendedprice / pow(CAST(l_linenumber AS DOUBLE), 0.6), 6) AS score FROM lineitem""")

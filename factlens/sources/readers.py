@@ -3,7 +3,7 @@ inferred; malformed input is counted or raises as each reader says."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_split, strip_quotes
@@ -46,9 +46,18 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return x.groupBy("entity", "lang").agg(F.max_by("label", "pos").alias("label")).withColumn("malformed", F.col("lang").isNull())
 
 
+def _fields(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """p: the n tab-separated fields of each line that is not blank, quotes as they stand; any other number of fields raises. at: the line's place, by file and in it."""
+    p = F.split("value", "\t", -1)
+    wrong = F.raise_error(F.concat(F.lit(f"not {n} fields: "), F.col("value")))
+    x = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return x.select(F.when(F.size(p) == n, p).otherwise(wrong).alias("p"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("at"))
+
+
 def genders(spark: SparkSession, path: str) -> DataFrame:
-    v = F.lower(F.trim("gender"))
-    return spark.read.schema("entity string, gender string").csv(path, sep="\t").select("entity", F.when(v.isin("male", "female"), v).otherwise("none").alias("gender"))
+    """entity, gender (male, female or none) of lines of exactly two fields."""
+    v = F.lower(F.trim(F.col("p")[1]))
+    return _fields(spark, path, 2).select(F.col("p")[0].alias("entity"), F.when(v.isin("male", "female"), v).otherwise("none").alias("gender"))
 
 
 def tail_columns(spark: SparkSession, path: str, name: str, sep: str = ",") -> DataFrame:
@@ -65,8 +74,11 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:
-    """sub, relation and the array of objects (blank-separated)."""
-    return spark.read.schema("sub string, relation string, objs string").csv(path, sep="\t").select("sub", "relation", F.split("objs", " ").alias("objs"))
+    """sub, relation and the array of objects (blank-separated); the last line of a subject and relation wins."""
+    p = F.col("p")
+    x = _fields(spark, path, 3).select(p[0].alias("sub"), p[1].alias("relation"), F.split(p[2], " ").alias("objs"), "at")
+    last = F.row_number().over(Window.partitionBy("sub", "relation").orderBy(F.col("at").desc()))
+    return x.withColumn("nth", last).where("nth = 1").select("sub", "relation", "objs")
 
 
 def templates(spark: SparkSession, path: str, langs: list[str], key: str = "pid") -> DataFrame:

@@ -78,10 +78,17 @@ def test_text_rules(spark):
 
     assert one(T.set_masks(F.lit("a [MASK] [MASK]  [MASK] b [MASK]"), F.lit(2))) == "a [MASK] [MASK] b [MASK]"
     assert one(T.merge_subwords(F.array(*[F.lit(x) for x in ("un", "##do", "##ing", "it")]))) == ["undoing:3", "it:1"]
-    assert one(T.is_latin(F.lit("Ünï 12"))) and not one(T.is_latin(F.lit("abc жук"))) and not one(T.is_latin(F.lit("12")))
+    assert one(T.is_latin(F.lit("Ünï 12"))) and one(T.is_latin(F.lit("abc жук"))) and not one(T.is_latin(F.lit("12 жук ª")))
+    ends = {"[Y].": True, "[a;Y;b] \t.": True, "[X] to [Y].": True, "in [Y].": False, "[Y]": False, "[X].": False, "": False, "[Y]!": False}
+    assert {p: one(T.ends_in_object(F.lit(p))) for p in ends} == ends
     assert one(T.gold_match(F.lit("Paris ."), F.array(F.lit("x"), F.lit("PARIS"))))
     assert one(T.mention_fill(F.lit("[[a]] in [[b]]."), F.array(F.lit("X"), F.lit("Y")))) == "X in Y."
     assert one(T.malformed_inflection(F.lit("abcdef gh"), F.lit("abcxx gh"))) is False and one(T.malformed_inflection(F.lit("abc"), F.lit("xbc"))) is True
+    assert one(T.malformed_inflection(F.lit("abcdef"), F.lit("abcxyzuvw"))) is True and one(T.malformed_inflection(F.lit("Moscow"), F.lit("moscóws"))) is False
+    assert one(T.malformed_inflection(F.lit("a  b"), F.lit("A  c"))) is True and one(T.malformed_inflection(F.lit("ёж"), F.lit("ежами"))) is False
+    label = lambda g, r, s: one(T.error_label(T.comparable(F.lit(g)), T.comparable(F.lit(r)), T.comparable(F.lit(s))))
+    got = [label(*x) for x in (("Paris", "x", "Lyon"), ("New York", "x", "new york city"), ("x y", "LYON!", "Lyon"), (". a", "Lyon", "Lyon"), (None, "a", "b"), ("ab", "", None), ("ＰＡＲＩＳ", "", "paris"))]
+    assert got == ["", "subject_repetition", "subject_repetition", "non_informative", "non_informative", "", "subject_repetition"]
     assert one(T.strip_accents(F.lit("ёé"))) == "еe" and one(T.normalize("NFC")(F.lit("é"))) == "é" and one(T.casefold(F.lit("Straße"))) == "strasse"
     claimed = one(mining.claim_positions(F.array(*[F.struct(F.lit(e).alias("ent"), F.lit(a).alias("begin"), F.lit(b).alias("end")) for e, a, b in (("x", 0, 3), ("y", 2, 4), ("z", 3, 5))])))
     assert [m.ent for m in claimed] == ["x", "z"]
@@ -197,3 +204,45 @@ def test_running_sums_in_groups_of_any_size(spark):
         total[k] = s
     assert len(out) == 3000 and all(want[x.i] == (x.n, x.s) and x["all"] == total[x.k] for x in out)
     assert running(df.limit(0), ["k"], ["i"], {"n": F.lit(1)}).count() == 0
+
+
+def test_redirects_of_any_length_and_loops(spark):
+    from factlens.operators import resolve
+
+    rows = [(i, i + 1) for i in range(100)] + [(500, 501), (501, 502), (502, 500), (600, 500), (700, 700), (800, 900), (800, 850), (None, 1), (2000, None)]
+    red = spark.createDataFrame(rows, "source long, target long")
+    got = {r.k: (r.target, r.reason) for r in resolve.resolve_redirects(spark.createDataFrame([(k,) for k in (0, 37, 100, 500, 600, 700, 800, 5, 2000)], "k long"), red, "k").collect()}
+    assert got == {0: (100, None), 37: (100, None), 100: (100, None), 500: (500, "loop"), 600: (600, "loop"), 700: (700, "loop"), 800: (850, None), 5: (100, None), 2000: (2000, None)}
+    assert resolve.resolve_redirects(red.select("source"), red.limit(0), "source").where("target IS NOT NULL").count() == len(rows) - 1
+
+
+def test_greedy_selection_is_the_serial_rule(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(r.choice(["p", "p", "p", "q", None]), r.randrange(12), r.choice([None, *range(12)]), r.randrange(200)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "path string, a int, b int, s int").repartition(5)
+    key = lambda x: (-x[3], x[1], -1 if x[2] is None else x[2])
+    for cap, limit in ((3, 1000), (5, 7)):
+        want = []
+        for p in {x[0] for x in rows}:
+            used, kept = {}, 0
+            for x in sorted((x for x in rows if x[0] == p), key=key):
+                if kept < limit and all(used.get(e, 0) < cap for e in x[1:3]):
+                    kept += 1
+                    want.append(x)
+                    for e in x[1:3]:
+                        used[e] = used.get(e, 0) + 1
+        got = [tuple(x) for x in mining.greedy_capped(df, "path", ["a", "b"], "s", cap, limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert mining.greedy_capped(df.limit(0), "path", ["a", "b"], "s", 3, 5).count() == 0
+
+
+def test_readers_of_exact_fields(spark, tmp_path):
+    (tmp_path / "o.tsv").write_text('Q1\tP1\tQ5 Q6\nQ2\tP1\t"Q7\n\nQ1\tP1\tQ8\n')
+    assert sorted((x.sub, x.objs) for x in readers.objects(spark, f"{tmp_path}/o.tsv").collect()) == [("Q1", ["Q8"]), ("Q2", ['"Q7'])]
+    (tmp_path / "g.tsv").write_text('"Q1\t Male\nQ2\tx"\n')
+    assert sorted(map(tuple, readers.genders(spark, f"{tmp_path}/g.tsv").collect())) == [('"Q1', "male"), ("Q2", "none")]
+    (tmp_path / "g.tsv").write_text("Q1\tmale\tmore\n")
+    with pytest.raises(Exception, match="not 2 fields"):
+        readers.genders(spark, f"{tmp_path}/g.tsv").collect()
