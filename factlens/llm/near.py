@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt_join, importable, written
+from .common import ONE_TASK, dealt_join, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
 SMALL, CROWD, SIDE, BAGS, SLOTS, HUBS = 16, 1024, 4096, 256, 1 << 17, 4  # none changes a class
@@ -495,24 +495,24 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least, take), f"a {kind}, b {kind}, open double, more boolean")
             found = written(small.unionByName(large).groupBy("a", "b").agg(F.min("open").alias("open"), F.max("more").alias("more")), "near-found")
             left = written(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
-            unseen = left.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb")
+            unseen = written(left.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb"), "near-unseen")
             likely = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("open", "a", "b"))
-            if per_class:
+            few = unseen.count() <= ONE_TASK  # no load: all at once
+            if few or take > 1:
+                chosen = unseen.select("a", "b")
+            elif per_class:
                 sides = unseen.select("a", "b", "open", F.col("la").alias("l")).unionByName(unseen.select("a", "b", "open", F.col("lb").alias("l")))
                 chosen = sides.withColumn("nth", likely("l")).where("nth <= 2").select("a", "b").distinct()
-            elif take == 1:
-                chosen = unseen.withColumn("nth", likely(F.least("la", "lb"), F.greatest("la", "lb"))).where("nth = 1").select("a", "b")
             else:
-                chosen = unseen.select("a", "b")
+                chosen = unseen.withColumn("nth", likely(F.least("la", "lb"), F.greatest("la", "lb"))).where("nth = 1").select("a", "b")
             more = tested(chosen)
             links = more.where("linked")
             first, labels = first.unionByName(more), merged(labels, links, "near-more")
-            if per_class:
-                per_class = 0 < more.count() <= 4 * links.count()
-            elif take > 1:
+            if take > 1 or few and found.where("more").isEmpty():
                 break
-            else:
-                take = 1 << 40
+            if few or not (per_class and 0 < more.count() <= 4 * links.count()):
+                take = 1 << 40 if few or not per_class else 1
+                per_class = False
     links = first.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = labels.join(degree, "node", "left")
