@@ -43,22 +43,31 @@ def importable(spark: SparkSession) -> None:
 ONE_TASK = 8192
 
 
-def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str | list[str], *, counts: DataFrame | None = None) -> DataFrame | None:
+    """The keys with over 1 / (4 * partitions) of all rows, and over how many tasks (__parts) their rows are dealt; None where there are none, or where all rows are no load for one task."""
+    keys = [key] if isinstance(key, str) else key
+    n = rows.count() if counts is None else counts.agg(F.sum("many")).first()[0] or 0
+    if n <= ONE_TASK:
+        return None
+    limit = max(1, n // (4 * n_partitions(rows.sparkSession)))
+    many = rows.groupBy(*keys).agg(F.count("*").alias("many")) if counts is None else counts
+    hot = written(many.where(F.col("many") > limit).select(*keys, F.ceil(F.col("many") / limit).alias("__parts")).coalesce(1), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str | list[str], how: str = "inner", *, counts: DataFrame | None = None, hot: DataFrame | None | bool = True) -> DataFrame:
     """rows joined to side, which has one row a key at most, where any share of rows may have one key.
 
     A key with over 1 / (4 * partitions) of all rows is hot: there are fewer than 4 * partitions of them, so their table is
     broadcast, their rows are dealt over as many tasks as they would fill, and side's row goes to each. Up to ONE_TASK rows
     in all are no load for any task and are joined as they are. rows should be a table, as it is counted first. counts: key,
-    many (rows of the key, in these rows or in a larger table of them), where that is known.
+    many (rows of the key, in these rows or in a larger table of them), where that is known. hot: what hot_keys gave for
+    these rows or a larger table of them, where that is known.
     """
     keys = [key] if isinstance(key, str) else key
-    n = rows.count() if counts is None else counts.agg(F.sum("many")).first()[0] or 0
-    if n <= ONE_TASK:
-        return rows.join(side, keys, how)
-    limit = max(1, n // (4 * n_partitions(rows.sparkSession)))
-    many = rows.groupBy(*keys).agg(F.count("*").alias("many")) if counts is None else counts
-    hot = written(many.where(F.col("many") > limit).select(*keys, F.ceil(F.col("many") / limit).alias("__parts")).coalesce(1), "hot-keys")
-    if hot.isEmpty():
+    if hot is True:
+        hot = hot_keys(rows, keys, counts=counts)
+    if hot is None:
         return rows.join(side, keys, how)
     salt = F.pmod(F.xxhash64(*rows.columns), F.col("__parts"))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__s", F.coalesce(salt, F.lit(0).cast("long"))).drop("__parts")

@@ -40,10 +40,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ONE_TASK, dealt_join, importable, written
+from .common import ONE_TASK, dealt_join, hot_keys, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
-SMALL, CROWD, SIDE, BAGS, SLOTS, HUBS = 16, 1024, 4096, 256, 1 << 17, 4  # none changes a class
+SMALL, CROWD, SIDE, BAGS, SLOTS, HUBS, FEW_LINKS = 16, 1024, 4096, 256, 1 << 17, 4, 1 << 16  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -381,9 +381,38 @@ def _crosser(least: float, take: int):
     return run
 
 
-def components(links: DataFrame, name: str = "classes") -> DataFrame:
-    """node, label (the smallest node of its component) of every node in links (a, b). Each round takes the smallest label around and then that label's own label; rounds go on until none changes."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-links")
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of few links by union-find: the smaller root takes the other."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    x = pd.concat(parts)
+    node, code = np.unique(np.concatenate([x["a"].to_numpy(), x["b"].to_numpy()]), return_inverse=True)
+    root = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(code[: len(x)].tolist(), code[len(x) :].tolist(), strict=True):
+        i, j = top(i), top(j)
+        root[max(i, j)] = min(i, j)
+    yield pd.DataFrame({"node": node, "label": node[[top(i) for i in range(len(node))]]})
+
+
+def components(links: DataFrame, name: str = "classes", most: int = FEW_LINKS) -> DataFrame:
+    """node, label (the smallest node of its component) of every node in links (a, b).
+
+    Up to `most` links are no load for one task, which unites them. More are joined in rounds over all tasks: each takes the
+    smallest label around and then that label's own label; rounds go on until none changes.
+    """
+    links = written(links.select("a", "b").distinct(), f"{name}-links")
+    if links.count() <= most:
+        kind = links.schema["a"].dataType.simpleString()
+        return written(links.coalesce(1).mapInPandas(_united, f"node {kind}, label {kind}"), f"{name}-labels")
+    both = written(links.union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-both")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
         near = dealt_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("around"))
@@ -398,8 +427,13 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """labels (node, label of every node) after these links too: components of the links between classes, which are few, and one join back."""
     of = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
-    between = dealt_join(dealt_join(written(links.select("a", "b"), f"{name}-new"), of("a", "la"), "a"), of("b", "lb"), "b", counts=links.groupBy("b").agg(F.count("*").alias("many")))
-    between = written(between.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), f"{name}-between")
+    links = written(links.select("a", "b"), f"{name}-new")
+    n = links.count()
+    if not n:
+        return labels
+    hot = lambda c: hot_keys(links, c) if n > ONE_TASK else None
+    between = dealt_join(dealt_join(links, of("a", "la"), "a", hot=hot("a")), of("b", "lb"), "b", hot=hot("b"))
+    between = written(between.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")), f"{name}-between")
     if between.isEmpty():
         return labels
     roots = components(between, name).select(F.col("node").alias("label"), F.col("label").alias("root"))
@@ -424,16 +458,17 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     member = dealt_join(sketches.select("doc_id", "key"), nodes.select("key", "node"), "key", counts=nodes.select("key", "many")).groupBy("doc_id").agg(F.min("node").alias("node"))
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
     lead = written(rows.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("many")).where("many > 1"), "near-leads")
-    counts = lead.select("bucket", "many")
-    rows = written(dealt_join(rows, lead, "bucket", counts=counts), "near-buckets")  # bucket, node, b (the smallest node there), many
+    hot = hot_keys(rows, "bucket", counts=lead.select("bucket", "many"))  # of all that follows, until rows grow
+    rows = written(dealt_join(rows, lead, "bucket", hot=hot), "near-buckets")  # bucket, node, b (the smallest node there), many
     texts = base.where(real).join(rows.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = written(texts, "near-texts")
 
     def tested(pairs: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         pairs = written(pairs, "near-pairs")
-        by_a = pairs.groupBy("a").agg(F.count("*").alias("many"))
-        checked = dealt_join(dealt_join(pairs, side("b"), "b"), side("a"), "a", counts=by_a).mapInPandas(_verifier(least), f"a {kind}, b {kind}, linked boolean")
+        n = pairs.count()
+        of = lambda c: hot_keys(pairs, c) if n > ONE_TASK else None
+        checked = dealt_join(dealt_join(pairs, side("b"), "b", hot=of("b")), side("a"), "a", hot=of("a")).mapInPandas(_verifier(least), f"a {kind}, b {kind}, linked boolean")
         return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "near-tested")
 
     every = rows.select("node").distinct()
@@ -445,7 +480,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     mixed = written(rows.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "near-mixed")
     rows = rows.select("node", "bucket")
     if not mixed.isEmpty():
-        bags = dealt_join(rows, mixed, "bucket", counts=counts).select("node").distinct()
+        bags = dealt_join(rows, mixed, "bucket", hot=hot).select("node").distinct()
         bags = written(texts.join(bags, "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
 
         def sifted(pairs: DataFrame) -> DataFrame:
@@ -453,14 +488,14 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             by_b = written(pairs.select("a", "b").distinct(), "near-sift")
             return dealt_join(by_b, side("b"), "b").join(side("a"), "a").mapInPandas(_sifter(least), f"a {kind}, b {kind}, open double")
 
-        large = counts.where(F.col("many") > SMALL)
+        large = lead.select("bucket", "many").where(F.col("many") > SMALL)
         for salt in range(HUBS):
-            of = dealt_join(rows, large.select("bucket"), "bucket", counts=counts).join(labels, "node")
+            of = dealt_join(rows, large.select("bucket"), "bucket", hot=hot).join(labels, "node")
             drawn = F.xxhash64(F.lit(salt), "node")
             hub = of.groupBy("bucket").agg(F.min_by("node", drawn).alias("b"), F.min_by("label", drawn).alias("of_b"), F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high"))
             hub = written(hub.where("low < high").select("bucket", "b", "of_b", "many"), "near-hubs")
             large = hub.select("bucket", "many")
-            pairs = dealt_join(of, hub.drop("many"), "bucket", counts=counts).where("label <> of_b").select(F.col("node").alias("a"), "b")
+            pairs = dealt_join(of, hub.drop("many"), "bucket", hot=hot).where("label <> of_b").select(F.col("node").alias("a"), "b")
             some = written(sifted(pairs).join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti").join(labels.withColumnRenamed("node", "a"), "a"), "near-some")
             best = F.row_number().over(Window.partitionBy("label").orderBy("open", "a", "b"))
             some = some.withColumn("nth", best).where("nth <= 2").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -469,22 +504,22 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             if more.where("linked").isEmpty():
                 break
             labels = merged(labels, more.where("linked"), "near-more")
-        mixed = dealt_join(rows, mixed, "bucket", counts=counts).join(labels, "node").groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        mixed = dealt_join(rows, mixed, "bucket", hot=hot).join(labels, "node").groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         mixed = written(mixed.select("bucket", "many"), "near-mixed")
         crowded = written(mixed.where(F.col("many") > CROWD).select("bucket"), "near-crowded")  # few: each has more than CROWD rows
         if not crowded.isEmpty():
-            crowd = dealt_join(rows, crowded, "bucket", counts=counts).select("node").distinct()
+            crowd = dealt_join(rows, crowded, "bucket", hot=hot).select("node").distinct()
             words = written(by_rare_words(written(texts.join(crowd, "node", "left_semi"), "near-crowd"), least), "near-words")
             shared = words.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
             mixed = written(mixed.where(F.col("many") <= CROWD).unionByName(shared), "near-mixed")
             rows = written(rows.unionByName(words), "near-rows")
-            counts = written(rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "near-counts")
+            hot = hot_keys(rows, "bucket", counts=written(rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "near-counts"))
         mixed, take, per_class = mixed.select("bucket"), 1, True
         while True:  # the two likeliest pairs of each class, while a quarter are links; then the likeliest of every two classes; then all that are left
-            of = written(dealt_join(rows, mixed.select("bucket"), "bucket", counts=counts).join(labels, "node"), "near-of")
+            of = written(dealt_join(rows, mixed.select("bucket"), "bucket", hot=hot).join(labels, "node"), "near-of")
             mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
             mixed = written(mixed.select("bucket", "many"), "near-mixed")
-            of = dealt_join(of, mixed, "bucket", counts=counts)
+            of = dealt_join(of, mixed, "bucket", hot=hot)
             small = of.where(F.col("many") <= SMALL).select("bucket", "node", "label")
             small = small.toDF("bucket", "a", "la").join(small.toDF("bucket", "b", "lb"), "bucket").where("a > b AND la <> lb")
             small = sifted(small).withColumn("more", F.lit(False))

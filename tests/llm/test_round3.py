@@ -249,3 +249,24 @@ def test_a_crowd_with_a_common_passage_keeps_its_classes(spark, monkeypatch):
                 parent[max(x, y)] = min(x, y)
     got = {x.doc_id: x.class_id for x in near.near_duplicate_classes(docs_of(spark, rows)).collect()}
     assert got == {i: top(i) for i, _ in rows} and len(set(got.values())) < 150
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("most", [0, 1 << 16])
+def test_components_in_one_task_and_in_rounds(spark, kind, most):
+    """Chains, stars, a loop of its own, repeated links and none at all; both ways equal a plain search."""
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 230)] + [(7, 7), (1, 2), (2, 1), (1, 2)]
+    links += [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)]
+    links = [(str(a), str(b)) for a, b in links] if kind == "string" else links
+    label = {x: x for pair in links for x in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    got = near.components(spark.createDataFrame(links, f"a {kind}, b {kind}"), most=most)
+    assert {r.node: r.label for r in got.collect()} == label and got.count() == len(label)
+    assert near.components(spark.createDataFrame([], f"a {kind}, b {kind}"), most=most).count() == 0
