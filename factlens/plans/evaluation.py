@@ -381,3 +381,24 @@ SELECT grp, stratum, round(sum(n * abs(c - a)) / sum(n), 6) AS ece, CAST(sum(n)
 def a26_ece_by_stratum(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), ((F.col("l_partkey") % 100) / 100.0).alias("confidence"), F.when(F.col("l_tax") >= 0.04, 1).otherwise(0).alias("correct"), "l_linenumber")
     return rounded(stats.calibration_by_stratum(x, ["grp"], "confidence", "correct", "l_linenumber"), "ece", "ece_strict")
+
+
+WIDTH, LINES = 3, 7  # an order has at most seven lines
+_STEP = """, b{p} AS (SELECT example, tokens, score FROM (
+  SELECT b.example, CASE WHEN s.token IS NULL THEN b.tokens ELSE list_append(b.tokens, s.token) END AS tokens, max(b.score + coalesce(s.score, 0)) AS score
+  FROM b{q} b LEFT JOIN s ON s.example = b.example AND s.position = {p} AND s.prev IS NOT DISTINCT FROM b.tokens[-1] GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY example ORDER BY score DESC, tokens) <= {k})"""
+
+
+@query(f"""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS position, l_returnflag || l_linestatus AS token, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+s AS (SELECT o_custkey AS example, t.position, before.token AS prev, t.token, CAST(sum(t.q) AS BIGINT) AS score
+  FROM t JOIN orders ON o_orderkey = t.o LEFT JOIN t before ON before.o = t.o AND before.position = t.position - 1 GROUP BY ALL),
+b0 AS (SELECT DISTINCT example, CAST([] AS VARCHAR[]) AS tokens, CAST(0 AS BIGINT) AS score FROM s){"".join(_STEP.format(p=p, q=p - 1, k=WIDTH) for p in range(1, LINES + 1))}
+SELECT example, row_number() OVER (PARTITION BY example ORDER BY score DESC, tokens) AS rank, array_to_string(tokens, '>') AS tokens, CAST(score AS BIGINT) AS score FROM b{LINES}""")
+def w25_beam(spark, sf_dir):
+    """Each customer's weightiest runs of flag and status along an order's lines: a line number a position, the quantity of each step its score."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("position"), F.concat("l_returnflag", "l_linestatus").alias("token")).agg(F.sum("l_quantity").alias("q"))
+    before = t.select("o", (F.col("position") + 1).alias("position"), F.col("token").alias("prev"))
+    customer = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("example"))
+    x = t.join(before, ["o", "position"], "left").join(customer, "o").groupBy("example", "position", "prev", "token").agg(F.sum("q").cast("long").alias("score"))
+    return ranking.beam(x, WIDTH).withColumn("tokens", F.array_join("tokens", ">"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import last_split, strip_quotes
+from ..shared import written
 
 FACT = "uuid string, predicate_id string, sub_uri string, obj_uri string, sub_label string, obj_label string, count long"
 PREDICTION = "relation string, sub_uri string, obj_uri string, labels array<string>, prompt string, num_mask int, sentence array<string>, tokenized_obj_label array<string>, pred array<array<string>>, pred_log_prob array<array<double>>"
@@ -130,9 +131,18 @@ def csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_id (from 0), value. Whole files, so the numbers are the files' own."""
-    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r?\n$", "").alias("value"))
-    return x.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_id", "value"))
+    """file, line_id (from 0 in its file), value of every line; a file without bytes has none. Lines end in \\n, \\r\\n or \\r.
+
+    A large file is read by as many tasks as it has byte ranges. Each range counts its lines, the counts before it in its file
+    give its first number, and a line's place in its range the rest, so only one row a range is shuffled. The lines are
+    written once: another scan may cut the files elsewhere, as the cut depends on the executors at hand.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start")]
+    x = written(spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("__at"), "value"), "lines")
+    ranges = x.groupBy("file", "__start").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "__start", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return x.join(ranges, ["file", "__start"]).select("file", (F.col("__at") + F.col("__shift")).alias("line_id"), "value")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from factlens.catalog import QUERIES, SQL
 from factlens.functions import text as T
-from factlens.operators import mining, splits, stats
+from factlens.operators import mining, ranking, splits, stats
 from factlens.sources import readers, writers
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -246,3 +246,49 @@ def test_readers_of_exact_fields(spark, tmp_path):
     (tmp_path / "g.tsv").write_text("Q1\tmale\tmore\n")
     with pytest.raises(Exception, match="not 2 fields"):
         readers.genders(spark, f"{tmp_path}/g.tsv").collect()
+
+
+def test_lines_are_numbered_over_byte_ranges(spark, tmp_path):
+    """Files cut into ranges far shorter than they are, with blank lines, long ones, all line ends, no last end, and no bytes at all."""
+    (tmp_path / "t").mkdir()
+    texts = {"a": "".join(f"line {i} {'x' * (i % 70)}\n" for i in range(500)), "b": "one\r\n\r\ntwo\r\nthree", "c": "", "d": "\n\n\n", "e": "y" * 5000 + "\nz\n"}
+    for name, text in texts.items():
+        (tmp_path / "t" / f"{name}.txt").write_bytes(text.encode())
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(f"{tmp_path}/t/a.txt").select("_metadata.file_block_start").distinct().count() > 10
+        rows = readers.lines(spark, f"{tmp_path}/t").collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    got = {n: sorted((r.line_id, r.value) for r in rows if r.file.endswith(f"/{n}.txt")) for n in texts}
+    assert got == {n: [(i, line.rstrip("\r\n")) for i, line in enumerate(open(tmp_path / "t" / f"{n}.txt", encoding="utf-8"))] for n in texts}
+
+
+def serial_beam(rows, width):
+    kept = {e: [((), 0)] for e, p, _, t, s in rows if None not in (e, p, t, s)}
+    for p in sorted({r[1] for r in rows if r[1] is not None and None not in (r[0], r[3], r[4])}):
+        for e, sequences in kept.items():
+            new = {}
+            for tokens, score in sequences:
+                follow = [(tokens + (t,), score + s) for f, q, prev, t, s in rows if f == e and q == p and prev == (tokens[-1] if tokens else None) and t is not None and s is not None]
+                for x, y in follow or [(tokens, score)]:
+                    new[x] = max(new.get(x, y), y)
+            kept[e] = sorted(new.items(), key=lambda x: (-x[1], x[0]))[:width]
+    return {(e, i + 1, t, s) for e, sequences in kept.items() for i, (t, s) in enumerate(sequences)}
+
+
+@pytest.mark.parametrize("width", [1, 2, 1000])
+def test_beam_equals_serial_rule(spark, width):
+    """Ties, repeated rows, gaps in the positions, sequences that end early, nulls; a width over all sequences gives every one."""
+    import random
+
+    r = random.Random(width)
+    rows = [(e, p, prev, t, r.randrange(4)) for e in range(6) for p in (1, 2, 4) for prev in ([None] if p == 1 else "abc") for t in "abc" if r.random() < 0.7]
+    rows += rows[:5] + [(0, 1, None, "a", 9), (None, 1, None, "a", 1), (7, None, None, "a", 1), (8, 1, None, None, 1), (9, 1, None, "b", None), (10, 2, "a", "b", 5)]
+    x = spark.createDataFrame([(*row, "z") for row in rows], "example int, position int, prev string, token string, score long, tokens string")
+    got = ranking.beam(x, width).collect()
+    assert {(g.example, g["rank"], tuple(g.tokens), g.score) for g in got} == serial_beam(rows, width) and len(got) == len(serial_beam(rows, width))
+    assert ranking.beam(x.limit(0), width).count() == 0
