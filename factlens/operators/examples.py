@@ -110,3 +110,46 @@ def rebalanced(df: DataFrame, lang: str, fact: str, order: str, most: int, seed:
     x = df.join(F.broadcast(size), lang).join(first, [lang, fact])
     share = F.conv(F.substring(shuffled(seed, lang, order), 1, 4), 16, 10).cast("int") / 65536.0
     return x.where((F.col(order) == F.col("__first")) | (share < F.lit(most) / F.col("__n"))).drop("__n", "__first")
+
+
+IGNORED = -100  # fixed value: the label of a place that is not predicted
+_SPAN = 16**7
+
+
+def _draws(seed: int | str, keys: list[str], at: Column) -> list[Column]:
+    """Three independent whole numbers under 16^7 for each row and place, the same in every run."""
+    from .splits import shuffled
+
+    digest = shuffled(seed, *keys, at)
+    return [F.conv(F.substring(digest, i, 7), 16, 10).cast("long") for i in (1, 8, 15)]
+
+
+def masked_tokens(df: DataFrame, keys: list[str], tokens: str, seed: int | str, rate: float, mask_id: int, vocabulary: int, *, mentions: str | None = None, mention_rate: float | None = None, never: tuple[int, ...] = ()) -> DataFrame:
+    """df with inputs and labels (arrays of long) for masked training: a place is drawn at `rate`, inside mentions (array of
+    boolean, null or too short: false) at mention_rate where that is given; of the drawn, 80 % become mask_id, 10 % any id of
+    the vocabulary, 10 % stay. Labels hold the token at drawn places, else IGNORED. Tokens of never, and null tokens, are not drawn.
+
+    The draws are hashes of the seed, the keys and the place, so a row that is computed again gets the same; rows that share
+    their keys share their draws. Null tokens give null arrays, no tokens empty ones.
+    """
+    drawn = F.lit(int(rate * _SPAN))
+    if mentions and mention_rate:
+        inside = lambda i: F.coalesce(F.get(mentions, i), F.lit(False))
+        limit = lambda i: F.when(inside(i), int(mention_rate * _SPAN)).otherwise(drawn)
+    else:
+        limit = lambda i: drawn
+
+    def one(t: Column, i: Column) -> Column:
+        chance, kind, other = _draws(seed, keys, i)
+        free = t.isNotNull() & ~t.isin(*never) if never else t.isNotNull()
+        new = F.when(kind < int(0.8 * _SPAN), F.lit(mask_id).cast("long")).when(kind < int(0.9 * _SPAN), F.pmod(other, F.lit(vocabulary))).otherwise(t.cast("long"))
+        hit = free & (chance < limit(i))
+        return F.struct(F.when(hit, new).otherwise(t.cast("long")).alias("input"), F.when(hit, t.cast("long")).otherwise(F.lit(IGNORED).cast("long")).alias("label"))
+
+    x = df.withColumn("__m", F.transform(tokens, one))
+    return x.withColumns({"inputs": F.col("__m.input"), "labels": F.col("__m.label")}).drop("__m")
+
+
+def raw_or_switched(df: DataFrame, keys: list[str], raw: str, switched: str, seed: int | str, raw_rate: float, name: str) -> DataFrame:
+    """name: the raw form at raw_rate, else the switched one, by a hash of the seed and the keys."""
+    return df.withColumn(name, F.when(_draws(seed, keys, F.lit("form"))[0] < int(raw_rate * _SPAN), F.col(raw)).otherwise(F.col(switched)))

@@ -158,3 +158,25 @@ def p8_listed_relations(spark, sf_dir):
 def p13_no_categories(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("o_custkey"))
     return membership.unlisted(table(spark, sf_dir, "orders"), ["o_custkey"], c).select("o_orderkey")
+
+
+def _draw_sql(seed: int, at: str, first: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', conv_id, turn, {at})), {first}, 7) AS BIGINT)"
+
+
+_HIT = f"{_draw_sql(5, 'i - 1', 1)} < CASE WHEN regexp_matches(w, '^[A-Z]') THEN {int(0.4 * 16**7)} ELSE {int(0.15 * 16**7)} END AND length(w) > 0"
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, CASE WHEN {_draw_sql(4, "'form'", 1)} < {int(0.5 * 16**7)} THEN text ELSE role || ' ' || text END AS line FROM conversations),
+x AS (SELECT conv_id, turn, string_split(line, ' ') AS words FROM f WHERE line IS NOT NULL)
+SELECT conv_id, turn, array_to_string(list_transform(words, lambda w, i: CASE WHEN NOT ({_HIT}) THEN length(w)
+    WHEN {_draw_sql(5, 'i - 1', 8)} < {int(0.8 * 16**7)} THEN 103 WHEN {_draw_sql(5, 'i - 1', 8)} < {int(0.9 * 16**7)} THEN {_draw_sql(5, 'i - 1', 15)} % 500 ELSE length(w) END), ' ') AS inputs,
+  array_to_string(list_transform(words, lambda w, i: CASE WHEN {_HIT} THEN length(w) ELSE -100 END), ' ') AS labels FROM x""")
+def m10_m11_masking(spark, sf_dir):
+    """A form of each turn by a draw, then 80/10/10 masking with a rate of its own for capitalised words; a word's length stands for its id, 0 is never masked."""
+    x = table(spark, sf_dir, "conversations").withColumn("switched", F.concat("role", F.lit(" "), "text"))
+    x = examples.raw_or_switched(x, ["conv_id", "turn"], "text", "switched", 4, 0.5, "line").where("line IS NOT NULL")
+    x = x.withColumn("words", F.split("line", " ", -1))
+    x = x.withColumns({"ids": F.transform("words", F.char_length), "named": F.transform("words", lambda w: w.rlike("^[A-Z]"))})
+    x = examples.masked_tokens(x, ["conv_id", "turn"], "ids", 5, 0.15, 103, 500, mentions="named", mention_rate=0.4, never=(0,))
+    return x.select("conv_id", "turn", *[F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c) for c in ("inputs", "labels")])

@@ -7,7 +7,7 @@ import pytest
 
 from factlens.catalog import QUERIES, SQL
 from factlens.functions import text as T
-from factlens.operators import mining, ranking, splits, stats
+from factlens.operators import examples, mining, ranking, splits, stats
 from factlens.sources import readers, writers
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -292,3 +292,20 @@ def test_beam_equals_serial_rule(spark, width):
     got = ranking.beam(x, width).collect()
     assert {(g.example, g["rank"], tuple(g.tokens), g.score) for g in got} == serial_beam(rows, width) and len(got) == len(serial_beam(rows, width))
     assert ranking.beam(x.limit(0), width).count() == 0
+
+
+def test_masking_rates_and_edges(spark):
+    """Shares of a large draw, the mentions' own rate, tokens that are never drawn, the same result again, and null or empty rows."""
+    x = spark.range(400).selectExpr("id", "transform(sequence(0, 99), i -> if(i = 0, 1, 1000 + i)) AS tokens", "transform(sequence(0, 49), i -> i >= 25) AS named")
+    run = lambda: [(r.id, r.tokens, r.inputs, r.labels) for r in examples.masked_tokens(x, ["id"], "tokens", 3, 0.15, 2, 900, mentions="named", mention_rate=0.4, never=(1,)).orderBy("id").collect()]
+    rows = run()
+    assert rows == run()
+    hit = [(i, t, new) for _, tokens, inputs, labels in rows for i, (t, new, y) in enumerate(zip(tokens, inputs, labels, strict=True)) if y != -100 and y == t]
+    assert all(new == t or y == t for _, tokens, inputs, labels in rows for t, new, y in zip(tokens, inputs, labels, strict=True)) and all(i for i, _, _ in hit)
+    inside = sum(25 <= i < 50 for i, _, _ in hit)
+    assert abs(inside / 10000 - 0.4) < 0.02 and abs((len(hit) - inside) / 29600 - 0.15) < 0.01
+    kinds = [sum(new == 2 for *_, new in hit), sum(new == t for _, t, new in hit)]
+    assert abs(kinds[0] / len(hit) - 0.8) < 0.02 and abs(kinds[1] / len(hit) - 0.1) < 0.02 and all(new < 900 for _, t, new in hit if new != t)
+    edges = spark.createDataFrame([(1, None), (2, []), (None, [None, 5])], "id long, tokens array<int>")
+    got = {r.id: (r.inputs, r.labels) for r in examples.masked_tokens(edges, ["id"], "tokens", 3, 1.0, 2, 900).collect()}
+    assert got[1] == (None, None) and got[2] == ([], []) and got[None][0][0] is None and got[None][1] == [-100, 5]
