@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """Exact two-sided binomial test of b against c discordant pairs; 1 if there are none.
-
-    The terms of the tail come from their ratios; in logs, so any n is safe from underflow."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.lit(0.0).alias("s"))
-    tail = F.aggregate(
-        F.sequence(F.lit(0), k),
-        start,
-        lambda acc, i: F.struct((acc["t"] + F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).alias("t"), (acc["s"] + F.exp(acc["t"])).alias("s")),
-        lambda acc: acc["s"],
-    )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided binomial test of b against c discordant pairs; 1 if there are none, null if either is null.
+
+    The tail's largest term comes from log-gammas, the terms below it from their ratios, in stretches until they no longer
+    count: work by the square root of the number of pairs, memory by one stretch."""
+
+    def two_sided(b: pd.Series, c: pd.Series) -> pd.Series:
+        def p_value(n: int, k: int) -> float:
+            log_term = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)
+            total, i = exp(log_term), k
+            while i > 0:
+                at = np.arange(i, max(i - 8192, 0), -1, dtype=float)
+                logs = log_term + np.cumsum(np.log(at) - np.log(n - at + 1))  # of the terms i - 1, i - 2, ...
+                total, log_term, i = total + float(np.exp(logs).sum()), float(logs[-1]), int(at[-1]) - 1
+                if exp(log_term) <= total * 1e-18:
+                    break
+            return min(1.0, 2 * total)
+
+        known = b.notna() & c.notna()
+        return pd.Series([(p_value(int(x + y), int(min(x, y))) if x + y else 1.0) if ok else None for x, y, ok in zip(b, c, known, strict=True)], dtype=float)
+
+    return F.pandas_udf(two_sided, "double")(b.cast("long"), c.cast("long"))
 
 
 def mcnemar(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

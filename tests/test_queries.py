@@ -309,3 +309,14 @@ def test_masking_rates_and_edges(spark):
     edges = spark.createDataFrame([(1, None), (2, []), (None, [None, 5])], "id long, tokens array<int>")
     got = {r.id: (r.inputs, r.labels) for r in examples.masked_tokens(edges, ["id"], "tokens", 3, 1.0, 2, 900).collect()}
     assert got[1] == (None, None) and got[2] == ([], []) and got[None][0][0] is None and got[None][1] == [-100, 5]
+
+
+def test_mcnemar_of_very_many_pairs(spark):
+    """At 10^8 pairs the test is the normal one with its correction; nulls stay null."""
+    import math
+
+    half = 50_000_000
+    df = spark.createDataFrame([(half - 10_000, half + 10_000), (half, half), (0, 100_000_000), (None, 3), (0, 0)], "b long, c long")
+    got = [r.p for r in df.select(stats.mcnemar_p(df.b, df.c).alias("p")).collect()]
+    assert abs(got[0] - math.erfc(19_999 / math.sqrt(2 * half) / math.sqrt(2))) < 1e-6
+    assert got[1] == 1.0 and got[2] == 0.0 and got[3] is None and got[4] == 1.0
