@@ -8,23 +8,22 @@ tested or become of one class, whatever the size of the group:
 
 1. each node is tested against the smallest node of all its keys, and against the one that is the smallest of most of its
    keys; this joins most of a large group at two tests a node;
-2. in up to HUBS rounds a node of each key, drawn by a hash, is its hub. Of the pairs of a node and a hub of its keys that are of different
-   classes, each class has its two likeliest tested. So a large group is one class before pairs inside it are counted, at a few tests a class;
-3. all pairs that are left, in rounds: the two likeliest of each class, while a quarter of these are links; the likeliest of
-   every two classes that share a key; then every pair that is not tested and not of one class. Pairs that the word counts rule out (by length, or by the words that both have in
-   each of BAGS hash groups) need no alignment.
+2. the nodes of each key that has more than one class meet in one task with their word counts (in all, and in each of BAGS hash groups). A pair that
+   meets more than once counts in the largest of its groups, so that a class forms once. What comes out is the nodes that have a pair which these counts leave;
+3. these nodes meet again, with their texts: pairs are tested there, the likeliest first, but for those that links found there made one class. Only
+   links come out. So no table holds the pairs of a group: rows and texts grow with its nodes.
 
 Keys that more than CROWD nodes share (a licence, a site's template) say little, and their pairs would grow with the square of the crowd.
 Their nodes meet by rare words instead: texts of n words that are similar have at least n - floor((1 - SIMILARITY) * n) words in common, a
 word's second occurrence counting as another word. So in any one order of all words each has one of these among its first floor((1 - SIMILARITY) * n) + 1.
 The order is by how many of the crowd's texts have a word, rarest first: the words of what a crowd shares come last and pair nothing. This loses
-no link, in whatever order. Groups of more than SMALL nodes are compared in one task, those of more than SIDE in blocks, every block with every
-block.
+no link, in whatever order. Groups of more than SIDE nodes are compared in blocks, every block with every block, but for those of the group's
+largest class among themselves: beside a large class of copies the few others cost no square.
 
 So a link is missed only if its texts share no key. A pair is verified by alignment: edit similarity 1 - d / max(n, m) over
 words of at least SIMILARITY. Word, pair and triple counts rule out what cannot reach it; k-mers that are unique in both texts
-anchor a first alignment, whose gaps are counted exactly; if it exceeds the allowed edits, the whole pair is aligned in a band
-that widens by one diagonal for each edit found, which is exact and takes time by the edits, not by the texts' product.
+anchor a first alignment, whose gaps are counted exactly; if it exceeds the allowed edits, the whole pair is aligned: exactly, by bits where
+that is the shorter way, else in a band that widens by one diagonal for each edit found, in time by the edits, not by the texts' product.
 
 Classes are the connected components of verified links: smallest labels spread over links between classes. A key, a leader or
 a class that holds a large share of all rows is dealt over several tasks in every join (common.dealt_join).
@@ -37,13 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ONE_TASK, dealt_join, hot_keys, importable, written
 
 K, BANDS, PICK, SIMILARITY = 5, 6, 5, 0.8
-SMALL, CROWD, SIDE, BAGS, SLOTS, HUBS, FEW_LINKS = 16, 1024, 4096, 256, 1 << 17, 4, 1 << 16  # none changes a class
+SMALL, CROWD, SIDE, BAGS, SLOTS, FEW_LINKS, AT_ONCE, MOST_KEYS, MOST_WORDS = 64, 1024, 1024, 256, 1 << 17, 1 << 16, 2048, 256, 1 << 21  # none changes a class
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -157,6 +156,37 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def _bitwise(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """As _banded, a column of the table at a time: the steps up and down in it are the bits of two numbers."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return min(max(n, m), most + 1)
+    places: dict = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, d = every, 0, n
+    for left, w in zip(range(m - 1, -1, -1), b.tolist(), strict=True):
+        same = places.get(w, 0)
+        x = same | down
+        y = ((same & up) + up ^ up) | same
+        more, less = down | (every & ~(y | up)), up & y
+        if more & last:
+            d += 1
+        elif less & last:
+            d -= 1
+        if d - left > most:
+            return most + 1
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | (every & ~(x | more)), more & x
+    return min(d, most + 1)
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """_banded or _bitwise, by the time that they take: about 45 us an edit, and 0.8 us a word and more for long texts."""
+    return (_bitwise if len(b) * (0.8 + 0.002 * len(a)) < 45 * most else _banded)(a, b, most)
+
+
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     """How many elements two bags have in common."""
     u, nu = np.unique(x, return_counts=True)
@@ -186,7 +216,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = K) -> int:
         if need > 0 and (min(len(a), len(b)) < q or _shared(kmer_hashes(a, q), kmer_hashes(b, q)) < need):
             return most + 1
     if len(a) <= 2 * k or len(b) <= 2 * k or longest <= 32:
-        return _banded(a, b, most)
+        return _aligned(a, b, most)
     ga, gb = kmer_hashes(a, k), kmer_hashes(b, k)
     ua, ia, na = np.unique(ga, return_index=True, return_counts=True)
     ub, ib, nb = np.unique(gb, return_index=True, return_counts=True)
@@ -203,9 +233,9 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, k: int = K) -> int:
             continue
         p, q, length = p + over, q + over, k - over
         if p > i or q > j:
-            total += int(a[i] != b[j]) if p - i == q - j == 1 else _banded(a[i:p], b[j:q], most - total)
+            total += int(a[i] != b[j]) if p - i == q - j == 1 else _aligned(a[i:p], b[j:q], most - total)
             if total > most:
-                return _banded(a, b, most)
+                return _aligned(a, b, most)
         i, j = p + length, q + length
     return total
 
@@ -322,22 +352,6 @@ def by_rare_words(texts: DataFrame, least: float) -> DataFrame:
     return texts.mapInPandas(_rare_word_rows(counts, least), f"node {kind}, bucket long")
 
 
-def _sifter(least: float):
-    """The pairs that could be similar by their word counts, and the least share of edits that these leave."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(len(x), BAGS) for c in ("bag_a", "bag_b"))
-            longest, shortest = np.maximum(x["n_a"], x["n_b"]).to_numpy(), np.minimum(x["n_a"], x["n_b"]).to_numpy()
-            most = ((1 - least) * longest + 1e-9).astype(np.int64)
-            full = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # such a group may hold more
-            ok = (longest - shortest <= most) & ((longest - np.minimum(a, b).sum(axis=1, dtype=np.int64) <= most) | full)
-            open_ = (longest - np.minimum(a, b).sum(axis=1, dtype=np.int64)) / np.maximum(longest, 1)
-            yield x.loc[ok, ["a", "b"]].assign(open=open_[ok])
-
-    return run
-
-
 def _crosser(least: float, take: int):
     """Of the pairs of two blocks of a key's nodes (or of one) that are of different classes and could be similar by their word counts, the `take` likeliest of every two classes, and whether these had more."""
 
@@ -346,7 +360,7 @@ def _crosser(least: float, take: int):
         node, n = part["node"].to_numpy(), part["n"].to_numpy(np.int64)
         label = pd.factorize(part["label"])[0]
         bag = np.frombuffer(b"".join(part["bag"]), np.uint8).reshape(len(part), BAGS)
-        full = (bag == 255).any(axis=1)  # such a group may hold more
+        over = n - bag.sum(axis=1, dtype=np.int64)  # words beyond the 255 that a group counts
         first = int((part["block"] == part["lo"]).sum())
         two = part["lo"].iloc[0] != part["hi"].iloc[0]
         found = [np.empty((0, 4), np.int64)]
@@ -357,8 +371,8 @@ def _crosser(least: float, take: int):
             at = low + np.flatnonzero(label[low:high] != label[i])
             longest = np.maximum(n[at], n[i])
             most = ((1 - least) * longest + 1e-9).astype(np.int64)
-            both = np.minimum(bag[at], bag[i]).sum(axis=1, dtype=np.int64)
-            ok = ((longest - both <= most) | full[at] | full[i]) & (longest - np.minimum(n[at], n[i]) <= most)
+            both = np.minimum(bag[at], bag[i]).sum(axis=1, dtype=np.int64) + np.minimum(over[at], over[i])
+            ok = (longest - both <= most) & (longest - np.minimum(n[at], n[i]) <= most)
             at, left = at[ok], (longest - both)[ok]
             if len(at):
                 order = np.lexsort((left, label[at]))
@@ -368,6 +382,8 @@ def _crosser(least: float, take: int):
                 nth = np.arange(len(at)) - np.repeat(head, size)
                 keep = nth < take
                 found.append(np.stack([np.full(int(keep.sum()), i), at[keep], left[keep], np.where(nth == 0, np.repeat(size, size), 0)[keep]], axis=1))
+        if len(found) == 1:
+            return pd.DataFrame({"a": node[:0], "b": node[:0], "open": np.empty(0), "more": np.empty(0, bool)})
         x = pd.DataFrame(np.concatenate(found), columns=["i", "j", "left", "many"])
         x["p"], x["q"] = np.minimum(label[x["i"]], label[x["j"]]), np.maximum(label[x["i"]], label[x["j"]])
         x["open"] = x["left"] / np.maximum(n[x["i"]], n[x["j"]])
@@ -381,6 +397,137 @@ def _crosser(least: float, take: int):
     return run
 
 
+def _closer(part: pd.DataFrame, run: np.ndarray, least: float) -> pd.DataFrame:
+    """The pairs of each of many small groups (run: which group a row is of, in ascending order) that are of different classes and could be similar by their word counts."""
+    node, n, label = part["node"].to_numpy(), part["n"].to_numpy(np.int64), pd.factorize(part["label"])[0]
+    bag = np.frombuffer(b"".join(part["bag"]), np.uint8).reshape(len(part), BAGS)
+    over = n - bag.sum(axis=1, dtype=np.int64)  # words beyond the 255 that a group counts
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for d in range(1, len(part)):
+        i = np.flatnonzero(run[:-d] == run[d:])
+        if not len(i):
+            break
+        longest = np.maximum(n[i], n[i + d])
+        most = ((1 - least) * longest + 1e-9).astype(np.int64)
+        ok = (label[i] != label[i + d]) & (longest - np.minimum(n[i], n[i + d]) <= most)
+        i, longest, most = i[ok], longest[ok], most[ok]
+        left = longest - np.minimum(bag[i], bag[i + d]).sum(axis=1, dtype=np.int64) - np.minimum(over[i], over[i + d])
+        ok = left <= most
+        found.append((i[ok], i[ok] + d, (left / np.maximum(longest, 1))[ok]))
+    i, j, open_ = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"i": i, "j": j, "open": open_})
+
+
+def _in_common(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements rows[i] and rows[j], each without repeats, have in common, for each pair of i and j."""
+    size = np.array([len(x) for x in rows])
+    start = np.cumsum(size) - size
+    values, code = np.unique(np.concatenate(rows), return_inverse=True)
+    out, order = np.zeros(len(i), np.int64), np.argsort(i, kind="stable")
+    mark = np.zeros(len(values), bool)
+    for pairs in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        own = code[start[i[pairs[0]]] :][: size[i[pairs[0]]]]
+        mark[own] = True
+        for k in range(0, len(pairs), 256):
+            some = j[pairs[k : k + 256]]
+            of = np.repeat(np.arange(len(some)), size[some])
+            at = np.arange(len(of)) + np.repeat(start[some] - (np.cumsum(size[some]) - size[some]), size[some])
+            out[pairs[k : k + 256]] = np.bincount(of[mark[code[at]]], minlength=len(some))
+        mark[own] = False
+    return out
+
+
+def _candidates(part: pd.DataFrame, least: float) -> pd.DataFrame:
+    """i, j (places in part), open: the pairs of different classes that could be similar by their word counts and meet in no bucket that stands before (keys: a node's buckets, the same order for all), of all groups (bucket, lo, hi) of part."""
+    key = part[["bucket", "lo", "hi"]].to_numpy(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+    size = np.diff(np.concatenate([head, [len(part)]]))
+    of = np.repeat(np.arange(len(head)), size)
+    few = np.flatnonzero((size <= SMALL)[of])
+    out = []
+    if len(few):
+        x = _closer(part.iloc[few], of[few], least)
+        out.append(x.assign(i=few[x["i"]], j=few[x["j"]]))
+    cross = _crosser(least, 1 << 40)
+    for at, n in zip(head[size > SMALL], size[size > SMALL], strict=True):
+        x = cross(part.iloc[at : at + n].assign(node=np.arange(at, at + n)))
+        out.append(x[["a", "b", "open"]].set_axis(["i", "j", "open"], axis=1))
+    x = pd.concat(out, ignore_index=True)
+    if not len(x):
+        return x
+    x[["i", "j"]] = x[["i", "j"]].astype(np.int64)
+    before = [np.empty(0, np.int64) if k is None else k[: int(np.argmax(k == b))] for k, b in zip(part["keys"], part["bucket"], strict=True)]
+    x = x[_in_common(before, x["i"].to_numpy(), x["j"].to_numpy()) == 0]
+    return x
+
+
+def _meeting(least: float):
+    """The rows that have a candidate."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["bucket", "lo", "hi", "node"], ignore_index=True)
+        x = _candidates(part, least)
+        return part.loc[np.unique(np.concatenate([x["i"], x["j"]])).astype(np.int64), ["group", "bucket", "node", "block", "lo", "hi"]]
+
+    return run
+
+
+def _linker(least: float):
+    """The links among the candidates, the likeliest tested first, without those of nodes that links before made one class."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["bucket", "lo", "hi", "node"], ignore_index=True)
+        x = _candidates(part, least)
+        node, place = part["node"].to_numpy(), pd.factorize(part["node"])[0]
+        words: dict = {}
+        for at in np.unique(np.concatenate([x["i"], x["j"]])).astype(np.int64).tolist():
+            if place[at] not in words:
+                words[place[at]] = word_hashes(part["text"].iloc[at].split())
+        if len(x) and sum(len(h) for h in words.values()) <= MOST_WORDS:
+            held = [_labelled(words[k]) if k in words else np.empty(0, np.uint64) for k in range(int(place.max()) + 1)]
+            i, j = place[x["i"]], place[x["j"]]
+            longest = np.maximum(*(np.array([len(held[k]) for k in y]) for y in (i, j)))
+            x = x[longest - _in_common(held, i, j) <= ((1 - least) * longest + 1e-9).astype(np.int64)]
+        root: dict = {}
+
+        def top(label):
+            while (above := root.get(label, label)) != label:
+                root[label] = label = root.get(above, above)
+            return label
+
+        x = x.sort_values(["open", "i", "j"], kind="stable")
+        label, links = part["label"].to_numpy(), []
+        for i, j in zip(x["i"].tolist(), x["j"].tolist(), strict=True):
+            la, lb = top(label[i]), top(label[j])
+            if la != lb and _alike(words[place[i]], words[place[j]], least):
+                root[max(la, lb)] = min(la, lb)
+                links.append((i, j))
+        i, j = np.array(links, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+
+    return run
+
+
+def _groups(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (bucket, node) with their classes, and of each bucket with several classes its rows (many), its largest class (major) and how many rows are of others (minor)."""
+    of = written(rows.join(labels, "node").select("bucket", "node", "label"), "near-of")
+    each = of.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("many"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("classes"))
+    mixed = each.where("classes > 1").select("bucket", "many", F.col("top.label").alias("major"), (F.col("many") - F.col("top.c")).alias("minor"))
+    return of, written(mixed, "near-mixed")
+
+
+def _blocks(of: DataFrame, mixed: DataFrame) -> DataFrame:
+    """bucket, node, block, and the two blocks (lo, hi) whose pairs meet there: a bucket of up to SIDE rows is one block; in a larger one blocks of its largest class meet all others, but not each other."""
+    x = dealt_join(of, mixed, "bucket", hot=hot_keys(of, "bucket", counts=mixed.select("bucket", "many")))
+    zero, at, major = F.lit(0).cast("long"), F.xxhash64("node"), F.col("label") == F.col("major")
+    whole = x.where(F.col("many") <= SIDE).select("bucket", "node", "many", zero.alias("block"), zero.alias("lo"), zero.alias("hi"))
+    small, large = F.ceil(F.col("minor") / SIDE), F.ceil((F.col("many") - F.col("minor")) / SIDE)
+    x = x.where(F.col("many") > SIDE).withColumn("block", F.when(major, small + F.pmod(at, large)).otherwise(F.pmod(at, small)).cast("long"))
+    last = F.when(major, small).otherwise(small + large).cast("long") - 1
+    x = x.withColumn("with", F.explode(F.sequence(zero, last)))
+    return whole.unionByName(x.select("bucket", "node", "many", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")))
+
+
 def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Components of few links by union-find: the smaller root takes the other."""
     parts = [b for b in batches if len(b)]
@@ -477,78 +624,28 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     first = tested(pairs.select("a", F.explode(F.array_distinct(F.array("b", "most"))).alias("b")))
     begun = components(first.where("linked"), "near-first")
     labels = written(every.join(begun, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-all")
-    mixed = written(rows.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "near-mixed")
-    rows = rows.select("node", "bucket")
+    of, mixed = _groups(rows.select("bucket", "node"), labels)
     if not mixed.isEmpty():
-        bags = dealt_join(rows, mixed, "bucket", hot=hot).select("node").distinct()
-        bags = written(texts.join(bags, "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary"), "near-bags")
-
-        def sifted(pairs: DataFrame) -> DataFrame:
-            side = lambda c: bags.toDF(c, f"n_{c}", f"bag_{c}")
-            by_b = written(pairs.select("a", "b").distinct(), "near-sift")
-            return dealt_join(by_b, side("b"), "b").join(side("a"), "a").mapInPandas(_sifter(least), f"a {kind}, b {kind}, open double")
-
-        large = lead.select("bucket", "many").where(F.col("many") > SMALL)
-        for salt in range(HUBS):
-            of = dealt_join(rows, large.select("bucket"), "bucket", hot=hot).join(labels, "node")
-            drawn = F.xxhash64(F.lit(salt), "node")
-            hub = of.groupBy("bucket").agg(F.min_by("node", drawn).alias("b"), F.min_by("label", drawn).alias("of_b"), F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high"))
-            hub = written(hub.where("low < high").select("bucket", "b", "of_b", "many"), "near-hubs")
-            large = hub.select("bucket", "many")
-            pairs = dealt_join(of, hub.drop("many"), "bucket", hot=hot).where("label <> of_b").select(F.col("node").alias("a"), "b")
-            some = written(sifted(pairs).join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti").join(labels.withColumnRenamed("node", "a"), "a"), "near-some")
-            best = F.row_number().over(Window.partitionBy("label").orderBy("open", "a", "b"))
-            some = some.withColumn("nth", best).where("nth <= 2").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            more = tested(some)
-            first = first.unionByName(more)
-            if more.where("linked").isEmpty():
-                break
-            labels = merged(labels, more.where("linked"), "near-more")
-        mixed = dealt_join(rows, mixed, "bucket", hot=hot).join(labels, "node").groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        mixed = written(mixed.select("bucket", "many"), "near-mixed")
-        crowded = written(mixed.where(F.col("many") > CROWD).select("bucket"), "near-crowded")  # few: each has more than CROWD rows
+        meet = _blocks(of, mixed.where(F.col("many") <= CROWD))
+        crowded = mixed.where(F.col("many") > CROWD).select("bucket")
         if not crowded.isEmpty():
-            crowd = dealt_join(rows, crowded, "bucket", hot=hot).select("node").distinct()
+            crowd = dealt_join(of, crowded, "bucket", hot=hot).select("node").distinct()
             words = written(by_rare_words(written(texts.join(crowd, "node", "left_semi"), "near-crowd"), least), "near-words")
-            shared = words.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
-            mixed = written(mixed.where(F.col("many") <= CROWD).unionByName(shared), "near-mixed")
-            rows = written(rows.unionByName(words), "near-rows")
-            hot = hot_keys(rows, "bucket", counts=written(rows.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "near-counts"))
-        mixed, take, per_class = mixed.select("bucket"), 1, True
-        while True:  # the two likeliest pairs of each class, while a quarter are links; then the likeliest of every two classes; then all that are left
-            of = written(dealt_join(rows, mixed.select("bucket"), "bucket", hot=hot).join(labels, "node"), "near-of")
-            mixed = of.groupBy("bucket").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-            mixed = written(mixed.select("bucket", "many"), "near-mixed")
-            of = dealt_join(of, mixed, "bucket", hot=hot)
-            small = of.where(F.col("many") <= SMALL).select("bucket", "node", "label")
-            small = small.toDF("bucket", "a", "la").join(small.toDF("bucket", "b", "lb"), "bucket").where("a > b AND la <> lb")
-            small = sifted(small).withColumn("more", F.lit(False))
-            large = of.where(F.col("many") > SMALL)
-            blocks = F.ceil(F.col("many") / SIDE)
-            large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            large = large.select("node", "label", "bucket", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).join(bags, "node")
-            large = large.groupBy("bucket", "lo", "hi").applyInPandas(_crosser(least, take), f"a {kind}, b {kind}, open double, more boolean")
-            found = written(small.unionByName(large).groupBy("a", "b").agg(F.min("open").alias("open"), F.max("more").alias("more")), "near-found")
-            left = written(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-left")
-            unseen = written(left.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la <> lb"), "near-unseen")
-            likely = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy("open", "a", "b"))
-            few = unseen.count() <= ONE_TASK  # no load: all at once
-            if few or take > 1:
-                chosen = unseen.select("a", "b")
-            elif per_class:
-                sides = unseen.select("a", "b", "open", F.col("la").alias("l")).unionByName(unseen.select("a", "b", "open", F.col("lb").alias("l")))
-                chosen = sides.withColumn("nth", likely("l")).where("nth <= 2").select("a", "b").distinct()
-            else:
-                chosen = unseen.withColumn("nth", likely(F.least("la", "lb"), F.greatest("la", "lb"))).where("nth = 1").select("a", "b")
-            more = tested(chosen)
-            links = more.where("linked")
-            first, labels = first.unionByName(more), merged(labels, links, "near-more")
-            if take > 1 or few and found.where("more").isEmpty():
-                break
-            if few or not (per_class and 0 < more.count() <= 4 * links.count()):
-                take = 1 << 40 if few or not per_class else 1
-                per_class = False
-    links = first.where("linked").select("a", "b")
+            meet = meet.unionByName(_blocks(*_groups(words, labels)))
+        met = written(meet, "near-meet")
+        n = met.count()
+        small = F.pmod(F.xxhash64("bucket"), F.lit(n // AT_ONCE + 1))  # many small groups in one
+        meet = met.select("bucket", "node", "block", "lo", "hi", F.when(F.col("many") <= SMALL, small).otherwise(F.xxhash64("bucket", "lo", "hi")).alias("group"))
+        keys = met.groupBy("node").agg(F.sort_array(F.collect_set(F.struct(-F.col("many"), "bucket"))).alias("keys"))
+        keys = keys.select("node", F.when(F.size("keys") <= MOST_KEYS, F.col("keys.bucket")).alias("keys"))  # without its keys a node's pairs may count more than once
+        bags = texts.join(met.select("node").distinct(), "node", "left_semi").mapInPandas(_bagger, f"node {kind}, n long, bag binary")
+        bags = written(bags.join(keys, "node").join(labels, "node"), "near-bags")
+        open_ = meet.join(bags, "node").groupBy("group").applyInPandas(_meeting(least), f"group long, bucket long, node {kind}, block long, lo long, hi long")
+        open_ = written(open_, "near-open")
+        links = open_.join(bags, "node").join(texts, "node").groupBy("group").applyInPandas(_linker(least), f"a {kind}, b {kind}")
+        links = written(links.distinct(), "near-links").withColumn("linked", F.lit(True))
+        first, labels = first.unionByName(links), merged(labels, links, "near-more")
+    links = first.where("linked").select("a", "b").distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = labels.join(degree, "node", "left")
     of_doc = dealt_join(written(member, "near-members"), of_node, "node", "left").withColumnRenamed("node", "__node").withColumnRenamed("doc_id", "__doc")

@@ -270,3 +270,39 @@ def test_components_in_one_task_and_in_rounds(spark, kind, most):
     got = near.components(spark.createDataFrame(links, f"a {kind}, b {kind}"), most=most)
     assert {r.node: r.label for r in got.collect()} == label and got.count() == len(label)
     assert near.components(spark.createDataFrame([], f"a {kind}, b {kind}"), most=most).count() == 0
+
+
+def test_near_tables_do_not_hold_the_pairs_of_a_crowd(spark, monkeypatch):
+    """500 texts share a passage of a third of their words, or of four fifths: what is written grows with the texts, not with their pairs, and no link is lost."""
+    rng, sizes, keep = np.random.default_rng(29), {}, near.written
+
+    def seen(df, name):
+        out = keep(df, name)
+        if {"a", "b"} <= set(df.columns):
+            sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near, "written", seen)
+    passage, common = [f"p{k}" for k in range(20)], ["so", "it", "is"] * 30  # a word that stands often says little, however often
+    rows = [(i, " ".join([*passage, *(f"w{w}" for w in rng.integers(0, 3000, 40))])) for i in range(400)]
+    rows += [(400 + i, " ".join([*common, *(f"w{w}" for w in rng.integers(0, 3000, 18 + i % 8))])) for i in range(100)]
+    texts = [t.split() for _, t in rows]
+    got = {x.doc_id: x.class_id for x in near.near_duplicate_classes(docs_of(spark, rows)).collect()}
+    assert sum(sizes.values()) < 12 * len(rows), sizes
+    sketch = [near.order_minhash(near.word_hashes(t)) for t in texts]
+    label = {i: i for i in got}
+    for a in range(500):
+        for b in range(400 if a >= 400 else 0, a):
+            if label[a] != label[b] and len(np.intersect1d(sketch[a], sketch[b])) and near.similar(rows[a][1], rows[b][1]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    assert got == label
+
+
+def test_near_alignment_by_bits_is_that_in_a_band():
+    rng = np.random.default_rng(31)
+    for _ in range(500):
+        a = rng.integers(0, 12, rng.integers(0, 60)).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, len(a), 4)) if len(a) and rng.random() < 0.5 else rng.integers(0, 12, rng.integers(0, 60)).astype(np.uint64)
+        most = int(rng.integers(0, 60))
+        assert near._bitwise(a, b, most) == near._banded(a, b, most)
